@@ -234,7 +234,7 @@ def _scan(phrases: Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
                     spans.append((old_spans[i] or []) + [{"at": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
                     items.append((old_items[i] or []) + sorted(found.get(done + i, [])))
                 done += w.chunk.n
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(w.counts.astype(np.int64)), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], _NAMES)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(w.counts.astype(np.int64)), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string())), rows.column(5)], _NAMES)
 
         for chunk in chunks(batch.column(1)):
             words = Words(chunk, ALNUM, True)
@@ -248,8 +248,7 @@ def _scan(phrases: Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
 
 
 _SPANS = pa.list_(pa.struct([("at", pa.int64()), ("end", pa.int64())]))
-_NAMES = ["doc_id", "text", "n_words", "spans", "items"]
-_SCHEMA = "doc_id long, text string, n_words long, spans array<struct<at:bigint,end:bigint>>, items array<string>"
+_NAMES = ["doc_id", "text", "n_words", "spans", "items", "extra"]
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +275,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         parts.append(whole[at:begin])
                         at = end
                     texts[i] = b"".join([*parts, whole[at:]]).decode()
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(texts, pa.string()), rows.column(2), pa.array(hits, pa.int64()), pa.array(merged, _SPANS), pa.array(items, pa.list_(pa.string()))], ["doc_id", "kept_text", "n_words", "n_hit", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(texts, pa.string()), rows.column(2), pa.array(hits, pa.int64()), pa.array(merged, _SPANS), pa.array(items, pa.list_(pa.string())), rows.column(5)], ["doc_id", "kept_text", "n_words", "n_hit", "spans", "items", "extra"])
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Phrases]:
@@ -290,13 +289,24 @@ def _blocks(benchmark: DataFrame) -> Iterator[Phrases]:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, kept_text, n_words, n_hit, spans (of words) and items of every row of docs(doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<at:bigint,end:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    """doc_id, kept_text, n_words, n_hit, spans (of words), items and extra (the other columns) of every row of docs."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    extra = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(None).cast("int")
+    spans = "array<struct<at:bigint,end:bigint>>"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(spans).alias("spans"), F.array().cast("array<string>").alias("items"), extra.alias("extra"))
+    kind = rows.schema["extra"].dataType.simpleString()
     for k, phrases in enumerate(_blocks(benchmark)):
         if k and k % 4 == 0:
             rows = materialise(rows, "decontaminate")
-        rows = rows.mapInArrow(lambda batches, phrases=phrases: _scan(phrases, batches), _SCHEMA)
-    return rows.mapInArrow(_finish, "doc_id long, kept_text string, n_words long, n_hit long, spans array<struct<at:bigint,end:bigint>>, items array<string>")
+        rows = rows.mapInArrow(lambda batches, phrases=phrases: _scan(phrases, batches), f"doc_id long, text string, n_words long, spans {spans}, items array<string>, extra {kind}")
+    return rows.mapInArrow(_finish, f"doc_id long, kept_text string, n_words long, n_hit long, spans {spans}, items array<string>, extra {kind}")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without the contaminated ones; from the others, occurrences are cut out. Columns stay as they are."""
+    kept = scan(docs, benchmark).filter(~contaminated())
+    columns = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
+    return kept.select(*((columns[c] if c in columns else F.col("extra").getField(c)).alias(c) for c in docs.columns))
 
 
 def contaminated():

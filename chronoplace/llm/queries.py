@@ -4,19 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoplace.llm import pii, secrets, sharding
+from chronoplace.llm import bpe, decontaminate, ngram_join, pii, quality, secrets, sharding, substring_dedup, token_output, toxicity
+
+#: Rank file of the tokenizer; a parameter, never copied.
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.deduplicate(_table(spark, sf_dir, "documents")))
+
+
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.digest(token_output.materialise_order(_table(spark, sf_dir, "documents"), RANKS)[0])
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.encode(_table(spark, sf_dir, "documents"), RANKS))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents"), 16)
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(_table(spark, sf_dir, "documents")))
 
@@ -25,10 +54,36 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.detect(_table(spark, sf_dir, "documents")))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op6_sharding, op8_pii, op9_secret_scans]
+    found = [op1_substring_dedup, op2_token_output, op3_byte_bpe, op4_quality_rules, op5_decontamination, op6_sharding, op7_ngram_jaccard, op8_pii, op9_secret_scans, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_substring_dedup": OP1_SQL}
+
+
+OP1_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), places AS (
+  SELECT doc_id, w, unnest(range(0, greatest(len(w) - 49, 0))) AS at FROM words
+), windows AS (
+  SELECT doc_id, at, md5(array_to_string(list_slice(w, at + 1, at + 50), ' ')) AS h FROM places
+), firsts AS (
+  SELECT h, min(doc_id) AS first FROM windows GROUP BY h
+), hits AS (
+  SELECT DISTINCT doc_id, unnest(range(at, at + 50)) AS word FROM windows JOIN firsts USING (h) WHERE first < doc_id
+), removed AS (
+  SELECT doc_id, list(word) AS gone FROM hits GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_transform(list_filter(list_transform(w, lambda x, i : {'x': x, 'i': i}),
+    lambda s : NOT coalesce(list_contains(gone, s.i - 1), false)), lambda s : s.x), ' ')) AS kept_sha256
+FROM words LEFT JOIN removed USING (doc_id)
+"""
