@@ -72,13 +72,13 @@ OP1_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), places AS (
-  SELECT doc_id, w, unnest(range(0, greatest(len(w) - 49, 0))) AS at FROM words
+  SELECT doc_id, w, unnest(range(0, greatest(len(w) - 49, 0))) AS pos FROM words
 ), windows AS (
-  SELECT doc_id, at, md5(array_to_string(list_slice(w, at + 1, at + 50), ' ')) AS h FROM places
+  SELECT doc_id, pos, md5(array_to_string(list_slice(w, pos + 1, pos + 50), ' ')) AS h FROM places
 ), firsts AS (
   SELECT h, min(doc_id) AS first FROM windows GROUP BY h
 ), hits AS (
-  SELECT DISTINCT doc_id, unnest(range(at, at + 50)) AS word FROM windows JOIN firsts USING (h) WHERE first < doc_id
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS word FROM windows JOIN firsts USING (h) WHERE first < doc_id
 ), removed AS (
   SELECT doc_id, list(word) AS gone FROM hits GROUP BY doc_id
 )
