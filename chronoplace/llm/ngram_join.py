@@ -11,8 +11,8 @@ by sizes first, and what is left is verified on whole sets.
    among the n - ceil(0.75 n) + 1 first of either in a common order there is one
    that both hold. Only these enter the matrix, rare ones first, so passages
    that many documents share stay out. Columns with one node are dropped.
-3. Contraction. In each column every node is paired with the column's least node;
-   each node's most frequent partner is verified. Groups of near copies collapse
+3. Contraction. In each column every node is paired with the column's central
+   node; each node's most frequent partner is verified. Groups of near copies collapse
    to few components in a pair per node, not in all pairs.
 4. Product. In columns that still hold several components, blocks (component by
    component) are multiplied: overlap counts are summed for each pair of nodes of
@@ -190,8 +190,17 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _partners(entries: DataFrame) -> DataFrame:
-    """Each node with the one of its columns' least nodes that it meets most often."""
-    hubs = entries.groupBy("token").agg(F.min("node").alias("hub"))
+    """Each node with the one of its columns' central nodes that it meets most often.
+
+    A column's central node is the one with the largest share of its own first shingles in shared columns: of a
+    group of near copies, the one with the fewest changes of its own, to which most of the others are near.
+    """
+    take = F.col("n") - F.ceil(F.col("n") * SHARE[0] / SHARE[1]) + 1
+    shares = entries.groupBy("node").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    # the share in thousandths above, the node's low bits below, so that ties have one order
+    rank = F.shiftleft(F.floor(F.col("c") * 1000 / take), 50).bitwiseOR(F.col("node").bitwiseAND(F.lit((1 << 50) - 1)))
+    ranked = entries.select("token", "node").join(shares.select("node", rank.alias("rank")), "node")
+    hubs = ranked.groupBy("token").agg(F.max_by("node", "rank").alias("hub"))
     met = entries.join(hubs, "token").filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("c"))
     best = met.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("best"))
     return best.select(F.col("best.hub").alias("a"), F.col("node").alias("b"))
@@ -201,14 +210,19 @@ def _product(entries: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes of different components that may still reach the bound. entries: token, node, n, pos, component."""
     mixed = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("token")
     entries = materialise(entries.join(mixed, "token", "left_semi"), "mixed")
-    blocks = entries.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    x = blocks.select("token", F.col("component").alias("ca"), F.col("least").alias("la"), F.col("most").alias("ma"))
-    y = blocks.select("token", F.col("component").alias("cb"), F.col("least").alias("lb"), F.col("most").alias("mb"))
-    # a block in which no two sizes are near enough is empty
-    blocks = x.join(y, "token").filter("ca < cb and 4 * ma >= 3 * lb and 4 * mb >= 3 * la").select("token", "ca", "cb")
-    left = entries.select("token", F.col("component").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    right = entries.select("token", F.col("component").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    cells = blocks.join(left, ["token", "ca"]).join(right, ["token", "cb"]).filter("4 * na >= 3 * nb and 4 * nb >= 3 * na")
+    # Two nodes that meet in a column agree on every shingle before it in the order: one that only the first holds
+    # there can't stand among the second's later ones. So what a node can share with any partner in a column is at
+    # most its size less its earlier shingles in unmixed columns. Heavily changed copies end here, before any pair.
+    before = F.row_number().over(Window.partitionBy("node").orderBy("pos")) - 1
+    entries = materialise(entries.withColumn("reach", F.col("n") - F.col("pos") + before), "reach")
+    blocks = entries.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("reach"))
+    x = blocks.select("token", F.col("component").alias("ca"), F.col("least").alias("la"), F.col("most").alias("ma"), F.col("reach").alias("ra"))
+    y = blocks.select("token", F.col("component").alias("cb"), F.col("least").alias("lb"), F.col("most").alias("mb"), F.col("reach").alias("rb"))
+    # a block whose sizes are too far apart, or whose best reach is too short, is empty
+    blocks = x.join(y, "token").filter("ca < cb and 4 * ma >= 3 * lb and 4 * mb >= 3 * la and 7 * least(ra, rb) >= 3 * (la + lb)").select("token", "ca", "cb")
+    left = entries.select("token", F.col("component").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("reach").alias("ra"))
+    right = entries.select("token", F.col("component").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("reach").alias("rb"))
+    cells = blocks.join(left, ["token", "ca"]).join(right, ["token", "cb"]).filter("4 * na >= 3 * nb and 4 * nb >= 3 * na and 7 * least(ra, rb) >= 3 * (na + nb)")
     sums = cells.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     bound = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
     return sums.filter(PAIR[0] * bound >= PAIR[1] * (F.col("na") + F.col("nb"))).select("a", "b")
