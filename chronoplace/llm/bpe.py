@@ -27,20 +27,20 @@ from __future__ import annotations
 
 import base64
 import sys
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoplace.llm.shared import materialise, release
 from chronoplace.llm.textnp import _BYTE, BYTE_BASE, Chunk, chunks, range_hash
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 16 << 20
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 OTHER, LETTER, NUMBER, SPACE = range(4)
 # Code points with the Unicode property White_Space.
@@ -150,17 +150,33 @@ def gather(values: np.ndarray, bounds: np.ndarray, picks: np.ndarray) -> tuple[n
     return values[at], np.concatenate([[0], ends])
 
 
+LEVEL = 9
+
+
 def _pack(values: np.ndarray) -> bytes:
     """Unsigned 32-bit values, byte planes apart, compressed."""
     planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zlib.compress(planes.tobytes(), 1)
+    return zstandard.compress(planes.tobytes(), LEVEL)
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
 
 
+def _pack_skewed(values: np.ndarray) -> bytes:
+    """Values of which most are small: one byte each, 255 for those that follow as larger ones."""
+    small = zstandard.compress(np.minimum(values, 255).astype(np.uint8).tobytes(), LEVEL)
+    return len(small).to_bytes(8, "little") + small + _pack(values[values >= 255])
+
+
+def _unpack_skewed(blob: bytes) -> np.ndarray:
+    size = int.from_bytes(blob[:8], "little")
+    out = np.frombuffer(zstandard.decompress(blob[8 : 8 + size]), np.uint8).astype("<u4")
+    out[out == 255] = _unpack(blob[8 + size :])
+    return out
+
+
 _BLOCK = "block long, bucket int, sizes binary, words binary, doc_ids array<long>, counts array<int>, buckets binary, sequence binary"
 
 
@@ -181,14 +197,11 @@ class _Block:
         self.size += len(chunk.data)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Hashes of the distinct pre-tokens, commonest first, each token's index into them, and their bytes."""
+        """Hashes of the distinct pre-tokens, commonest first and equals in byte order (which compresses best), each
+        token's index into them, and their bytes."""
         hashes = np.concatenate([p[3] for p in self.parts])
         values, first, inverse, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-        order = np.argsort(-times, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
         begins = np.concatenate([[0], np.cumsum([len(p[1]) for p in self.parts])])
-        first = first[order]
         part = np.searchsorted(begins, first, "right") - 1
         words: list[bytes] = [b""] * len(first)
         for k, (chunk, starts, ends, _) in enumerate(self.parts):
@@ -197,7 +210,11 @@ class _Block:
             raw = chunk.data.tobytes()
             for i, s, e in zip(mine.tolist(), starts[at].tolist(), ends[at].tolist(), strict=True):
                 words[i] = raw[s:e]
-        return values[order], place[inverse], words
+        rare = (-times).tolist()
+        order = np.array(sorted(range(len(words)), key=lambda i: (rare[i], words[i])), np.int64)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return values[order], place[inverse], [words[i] for i in order.tolist()]
 
     def rows(self, block: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
         hashes, sequence, words = self.distinct()
@@ -208,9 +225,9 @@ class _Block:
         for b in range(n_buckets):
             if edges[b] < edges[b + 1]:
                 mine = [words[i] for i in order[edges[b] : edges[b + 1]].tolist()]
-                lists.append({"block": block, "bucket": b, "sizes": _pack(np.array([len(w) for w in mine])), "words": zlib.compress(b"".join(mine), 1)})
+                lists.append({"block": block, "bucket": b, "sizes": _pack(np.array([len(w) for w in mine])), "words": zstandard.compress(b"".join(mine), LEVEL)})
         counts = np.concatenate(self.counts)
-        lists.append({"block": block, "doc_ids": self.ids, "counts": counts.tolist(), "buckets": _pack(bucket), "sequence": _pack(sequence)})
+        lists.append({"block": block, "doc_ids": self.ids, "counts": counts.tolist(), "buckets": _pack(bucket), "sequence": _pack_skewed(sequence)})
         yield pa.RecordBatch.from_pylist(lists, _ARROW)
 
 
@@ -247,7 +264,7 @@ def _encode(words: DataFrame, vocabulary: Vocabulary, n_buckets: int) -> DataFra
             for row in batch.to_pylist():
                 if row["bucket"] != bucket:
                     bucket, known = row["bucket"], {}
-                raw, at, ids, counts = zlib.decompress(row["words"]), 0, [], []
+                raw, at, ids, counts = zstandard.decompress(row["words"]), 0, [], []
                 for size in _unpack(row["sizes"]).tolist():
                     word = raw[at : at + size]
                     at += size
@@ -298,7 +315,7 @@ def _reassemble(joined: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 starts, order = np.concatenate([[0], np.cumsum(n)]), np.argsort(bucket, kind="stable")
                 lo, hi = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
                 lo[order], hi[order] = starts[:-1], starts[1:]
-                sequence, counts = _unpack(sequence.as_py()), np.asarray(counts.values)
+                sequence, counts = _unpack_skewed(sequence.as_py()), np.asarray(counts.values)
                 cut = np.concatenate([[0], np.cumsum(counts)])
                 keys = doc_ids.values
                 for a, b in _groups(counts):
