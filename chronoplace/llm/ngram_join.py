@@ -209,12 +209,11 @@ def _partners(entries: DataFrame) -> DataFrame:
 def _product(entries: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes of different components that may still reach the bound. entries: token, node, n, pos, component."""
     mixed = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("token")
-    entries = materialise(entries.join(mixed, "token", "left_semi"), "mixed")
-    # Two nodes that meet in a column agree on every shingle before it in the order: one that only the first holds
-    # there can't stand among the second's later ones. So what a node can share with any partner in a column is at
-    # most its size less its earlier shingles in unmixed columns. Heavily changed copies end here, before any pair.
-    before = F.row_number().over(Window.partitionBy("node").orderBy("pos")) - 1
-    entries = materialise(entries.withColumn("reach", F.col("n") - F.col("pos") + before), "reach")
+    # In the first column that two nodes share, neither holds an earlier shingle of the other: from there on they have
+    # at most n - pos left to share. So a pair that links passes the bound there, and is met there at the latest; the
+    # columns in which it passes are the first of those that it shares. Heavily changed copies end here, before any pair.
+    reach = F.col("n") - F.col("pos")
+    entries = materialise(entries.join(mixed, "token", "left_semi").withColumn("reach", reach), "mixed")
     blocks = entries.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("reach"))
     x = blocks.select("token", F.col("component").alias("ca"), F.col("least").alias("la"), F.col("most").alias("ma"), F.col("reach").alias("ra"))
     y = blocks.select("token", F.col("component").alias("cb"), F.col("least").alias("lb"), F.col("most").alias("mb"), F.col("reach").alias("rb"))
