@@ -218,10 +218,12 @@ def _product(entries: DataFrame) -> DataFrame:
     x = blocks.select("token", F.col("component").alias("ca"), F.col("least").alias("la"), F.col("most").alias("ma"), F.col("reach").alias("ra"))
     y = blocks.select("token", F.col("component").alias("cb"), F.col("least").alias("lb"), F.col("most").alias("mb"), F.col("reach").alias("rb"))
     # a block whose sizes are too far apart, or whose best reach is too short, is empty
-    blocks = x.join(y, "token").filter("ca < cb and 4 * ma >= 3 * lb and 4 * mb >= 3 * la and 7 * least(ra, rb) >= 3 * (la + lb)").select("token", "ca", "cb")
+    blocks = x.join(y, "token").filter("ca < cb and 4 * ma >= 3 * lb and 4 * mb >= 3 * la and 7 * least(ra, rb) >= 3 * (la + lb)").select("token", "ca", "cb", "lb", "mb", F.col("rb").alias("most"))
     left = entries.select("token", F.col("component").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("reach").alias("ra"))
     right = entries.select("token", F.col("component").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("reach").alias("rb"))
-    cells = blocks.join(left, ["token", "ca"]).join(right, ["token", "cb"]).filter("4 * na >= 3 * nb and 4 * nb >= 3 * na and 7 * least(ra, rb) >= 3 * (na + nb)")
+    # nodes of one side that can't reach any of the other's end before the second join
+    rows = blocks.join(left, ["token", "ca"]).filter("4 * na >= 3 * lb and 4 * mb >= 3 * na and 7 * least(ra, most) >= 3 * (na + lb)").drop("lb", "mb", "most")
+    cells = rows.join(right, ["token", "cb"]).filter("4 * na >= 3 * nb and 4 * nb >= 3 * na and 7 * least(ra, rb) >= 3 * (na + nb)")
     sums = cells.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     bound = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
     return sums.filter(PAIR[0] * bound >= PAIR[1] * (F.col("na") + F.col("nb"))).select("a", "b")
