@@ -184,14 +184,17 @@ class _Block:
     """Whole texts that share a list of distinct pre-tokens."""
 
     def __init__(self) -> None:
-        self.parts: list[tuple[Chunk, np.ndarray, np.ndarray, np.ndarray]] = []
+        #: Of each chunk: itself, its distinct pre-tokens (start, end, hash, times) and each token's index into them.
+        self.parts: list[tuple[Chunk, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         self.ids: list = []
         self.counts: list[np.ndarray] = []
         self.size = 0
 
     def take(self, chunk: Chunk, ids: list, splitter: Splitter) -> None:
         starts, ends, counts = splitter.split(chunk)
-        self.parts.append((chunk, starts, ends, range_hash(_BYTE[chunk.data], starts, ends, BYTE_BASE) if len(starts) else np.zeros(0, np.uint64)))
+        hashes = range_hash(_BYTE[chunk.data], starts, ends, BYTE_BASE) if len(starts) else np.zeros(0, np.uint64)
+        values, first, index, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        self.parts.append((chunk, starts[first], ends[first], values, times, index.astype(np.int32)))
         self.ids += ids
         self.counts.append(counts)
         self.size += len(chunk.data)
@@ -199,12 +202,12 @@ class _Block:
     def distinct(self) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Hashes of the distinct pre-tokens, commonest first and equals in byte order (which compresses best), each
         token's index into them, and their bytes."""
-        hashes = np.concatenate([p[3] for p in self.parts])
-        values, first, inverse, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        values, first, inverse = np.unique(np.concatenate([p[3] for p in self.parts]), return_index=True, return_inverse=True)
+        times = np.bincount(inverse, np.concatenate([p[4] for p in self.parts]), len(values)).astype(np.int64)
         begins = np.concatenate([[0], np.cumsum([len(p[1]) for p in self.parts])])
         part = np.searchsorted(begins, first, "right") - 1
         words: list[bytes] = [b""] * len(first)
-        for k, (chunk, starts, ends, _) in enumerate(self.parts):
+        for k, (chunk, starts, ends, *_) in enumerate(self.parts):
             mine = np.flatnonzero(part == k)
             at = first[mine] - begins[k]
             raw = chunk.data.tobytes()
@@ -214,7 +217,9 @@ class _Block:
         order = np.array(sorted(range(len(words)), key=lambda i: (rare[i], words[i])), np.int64)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        return values[order], place[inverse], [words[i] for i in order.tolist()]
+        place = place[inverse].astype(np.uint32)
+        sequence = np.concatenate([place[lo : lo + len(p[1])][p[5]] for lo, p in zip(begins.tolist(), self.parts, strict=False)])
+        return values[order], sequence, [words[i] for i in order.tolist()]
 
     def rows(self, block: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
         hashes, sequence, words = self.distinct()
