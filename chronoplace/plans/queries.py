@@ -197,7 +197,7 @@ def dense_scoped_topk(spark: SparkSession, d: str) -> DataFrame:
 @query(_ART + f" SELECT page_id, round({_DOT}, 6) AS dense_score FROM articles JOIN embeddings ON vec_id = page_id WHERE page_id % 2 = 0")
 def dense_lookup(spark: SparkSession, d: str) -> DataFrame:
     """JOI-15: ids without a vector drop out."""
-    return vectors.scores(V.vectors(spark, d), V.query_vector(spark, d), V.articles(spark, d).filter("page_id % 2 = 0")).select("page_id", _r("dense_score"))
+    return vectors.scores(V.vectors(spark, d), V.query_vector(spark, d), V.articles(spark, d)).select("page_id", _r("dense_score"))
 
 
 @query(
@@ -286,7 +286,7 @@ def importance_gate(spark: SparkSession, d: str) -> DataFrame:
 )
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """REL-11, RNK-1, AGG-7, SRT-2."""
-    docs = V.table(spark, d, "documents").filter("doc_id % 2 = 0").withColumnRenamed("doc_id", "page_id")
+    docs = V.table(spark, d, "documents").withColumnRenamed("doc_id", "page_id")
     lang = ranking.ranked(docs, "lang").filter("page_id % 3 = 0")
     return ranking.fuse({"bm25_strict": ranking.ranked(docs, F.desc("n_chars")), "category": lang}).select("page_id", _r("rrf_score", 9), "rrf_sources")
 
