@@ -215,7 +215,7 @@ _GSCORE = "gs AS (SELECT page_id, min(graph_distance) AS graph_distance, 1.0::DO
 
 
 def _graph(spark: SparkSession, d: str) -> DataFrame:
-    return V.articles(spark, d).filter("page_id % 4 = 0").select((F.col("page_id") % 7).alias("geoname_id"), F.replace("title", F.lit(" "), F.lit("_")).alias("article_title"), (F.col("page_id") % 3).cast("int").alias("graph_distance"))
+    return V.articles(spark, d).select((F.col("page_id") % 7).alias("geoname_id"), F.replace("title", F.lit(" "), F.lit("_")).alias("article_title"), (F.col("page_id") % 3).cast("int").alias("graph_distance"))
 
 
 @query(f"WITH {V.ARTICLES}, {_GRAPH}, {_GSCORE} SELECT * FROM gs")

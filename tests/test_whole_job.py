@@ -34,3 +34,10 @@ def test_odd_ids_are_ranked_and_looked_up(spark, name, cut):
     assert len(got) == len(expected)
     for a, b in zip(got, expected):
         assert a[0] == b[0] and a[1] == pytest.approx(b[1], abs=2e-6 if name == "dense_lookup" else 2e-9) and a[2:] == b[2:]
+
+
+@pytest.mark.parametrize("name", ["graph_score", "graph_scope_semi"])
+def test_graph_holds_all_articles(spark, name):
+    got = rows(spark, name)
+    assert got == whole(name, " WHERE page_id % 4 = 0")
+    assert len(got) > len(whole(name))
