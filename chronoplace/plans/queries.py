@@ -513,7 +513,7 @@ SELECT b.city, b.node, CAST(b.distance AS INT) AS distance, (SELECT min(src) FRO
 )
 def link_bfs(spark: SparkSession, d: str) -> DataFrame:
     """GRF-2, JOI-14."""
-    seeds = V.table(spark, d, "pages").filter("page_id % 25 = 0").select(F.col("page_id").alias("city"), F.col("page_id").alias("node"))
+    seeds = V.table(spark, d, "pages").select(F.col("page_id").alias("city"), F.col("page_id").cast("string").alias("node"))
     return graph.bfs(V.page_edges(spark, d), seeds, 2, ("city",))
 
 

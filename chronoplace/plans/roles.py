@@ -111,10 +111,10 @@ CITIES = """cities AS (
 
 
 def page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of pages by their relative hrefs: a page links to those whose id its words' lengths give (a rule over the html)."""
+    """Links between pages and the words of their relative hrefs, both ways: page nodes are ids as text, word nodes are /word."""
     p = table(spark, sf_dir, "pages")
-    hrefs = p.select(F.col("page_id").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), F.lit(1))).alias("word"))
-    return hrefs.select("src", (F.length("word") * 7 % 50).cast("long").alias("dst")).filter("src != dst").distinct()
+    out = p.select(F.col("page_id").cast("string").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]+)"'), F.lit(1))).alias("dst")).distinct()
+    return out.unionByName(out.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
 EDGES = """edges AS (

@@ -1,6 +1,7 @@
 """Registered queries do the whole job: against the SQL without its id filters, or brute force in Python."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -41,3 +42,26 @@ def test_graph_holds_all_articles(spark, name):
     got = rows(spark, name)
     assert got == whole(name, " WHERE page_id % 4 = 0")
     assert len(got) > len(whole(name))
+
+
+def test_link_bfs_reaches_words_and_pages_from_every_page(spark):
+    links = {}
+    for page, html in duckdb.sql(f"SELECT page_id, html FROM '{SF}/pages.parquet'").fetchall():
+        links.setdefault(str(page), set())
+        for word in re.findall(r'href="(/[^"]+)"', html or ""):
+            links[str(page)].add(word)
+            links.setdefault(word, set()).add(str(page))
+    expected = []
+    for city in (n for n in links if not n.startswith("/")):
+        seen, level = {city}, [(city, None)]
+        for distance in range(3):
+            expected += [(int(city), node, distance, parent) for node, parent in level]
+            step = {}
+            for node, _ in level:
+                for to in links[node] - seen:
+                    step[to] = min(node, step.get(to, node))
+            seen |= set(step)
+            level = list(step.items())
+    got = [(r.city, r.node, r.distance, r.parent) for r in queries.link_bfs(spark, SF).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    assert max(r[2] for r in got) == 2
