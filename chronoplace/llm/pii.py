@@ -4,7 +4,7 @@ Native: DataFrame functions only. One pass over the texts, no shuffle.
 
 Base kinds (always kept once their check holds): email, ip (parts at most 255),
 card (14 to 19 digits that pass Luhn), phone (10 to 15 digits after a plus).
-Scored kinds: iban (mod-97 holds), ssn and local phone numbers. Each starts from
+Scored kinds: iban (its country's length, mod-97 holds), ssn and local phone numbers. Each starts from
 a prior, gains from context words of its kind within CONTEXT code points on
 either side, loses from words that speak against it, and is a finding from
 THRESHOLD on; an iban's checksum alone suffices.
@@ -35,10 +35,21 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local_phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-]?[0-9])",
 }
+# An IBAN's pattern finds where one may begin; _ibans finds its end. The longest run
+# of groups from there, and the registry's lengths by country (ISO 13616).
+_GROUPS = r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9])*(?![A-Za-z0-9])"
+IBAN_LENGTHS = {
+    c: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in codes.split()
+}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _PRIOR = {"email": 0.8, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.35, "local_phone": 0.35}
 _FOR = {
@@ -71,12 +82,41 @@ def _mod97(value: Column) -> Column:
     return fits & (F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step) == 1)
 
 
+def _iban_at(rest: Column) -> Column:
+    """The IBAN that `rest` begins with, or null: it ends with a group, where its country's length says, or for a
+    country that isn't listed at the last group for which mod-97 holds. What follows, of whatever case, is no part of it."""
+    lengths = F.create_map(*(F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair))
+    groups = F.split(F.regexp_extract(rest, _GROUPS, 0), " ")
+    ends = F.transform(F.sequence(F.size(groups), F.lit(1)), lambda i: F.array_join(F.slice(groups, F.lit(1), i), " "))
+
+    def valid(value: Column) -> Column:
+        wanted = F.try_element_at(lengths, F.substr(value, F.lit(1), F.lit(2)))
+        n = F.length(F.replace(value, F.lit(" "), F.lit("")))
+        return F.when(n.between(15, 34) & F.coalesce(n == wanted, F.lit(True)), _mod97(value)).otherwise(False)
+
+    return F.try_element_at(F.filter(ends, valid), F.lit(1))
+
+
+def _ibans(text: Column, heads: Column) -> Column:
+    """Spans of the IBANs that begin at the heads; of two that overlap, the first."""
+    # 34 characters with a space before each but the first four, and one more to see the end
+    values = F.transform(heads, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), _iban_at(F.substring(text, s["start"] + 1, 34 + 30 + 1)).alias("value")))
+
+    def step(acc: Column, x: Column) -> Column:
+        end = x["start"] + F.length(x["value"])
+        span = F.struct(x["start"].alias("start"), end.alias("end"), F.lit("iban").alias("kind"), x["order"].alias("order"), x["value"].alias("value"))
+        clear = x["value"].isNotNull() & ((F.size(acc) == 0) | (F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) <= x["start"]))
+        return F.when(clear, F.concat(acc, F.array(span)).cast(S.SPAN)).otherwise(acc)
+
+    return F.when(F.size(heads) > 0, F.aggregate(values, S.nothing(), step)).otherwise(heads)
+
+
 _VALID = {
     "email": lambda v: F.lit(True),
     "ip": lambda v: v.rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"),
     "card": lambda v: F.length(_digits(v)).between(14, 19) & F.call_function("luhn_check", _digits(v)),
     "phone": lambda v: F.length(_digits(v)).between(10, 15),
-    "iban": _mod97,
+    "iban": lambda v: F.lit(True),
     "ssn": lambda v: ~v.rlike("^(?:000|666|9[0-9]{2})|-00-|-0000$"),
     "local_phone": lambda v: F.lit(True),
 }
@@ -110,7 +150,7 @@ def detect(df: DataFrame, text: str = "text") -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     kinds = [*BASE_KINDS, *SCORED_KINDS]
     found = {k: S.find(whole, PATTERNS[k], k, i, _VALID[k], _guard(whole, k)) for i, k in enumerate(kinds)}
-    out = df.withColumns({f"__{k}": v for k, v in found.items()})
+    out = df.withColumns({f"__{k}": v for k, v in found.items()}).withColumn("__iban", _ibans(whole, F.col("__iban")))
     base = F.concat(*(F.col(f"__{k}") for k in BASE_KINDS))
     enough = lambda kind: lambda s: score(whole, s, kind) >= THRESHOLD
     scored = [F.filter(F.col(f"__{k}"), enough(k)) for k in SCORED_KINDS]
