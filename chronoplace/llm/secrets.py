@@ -4,10 +4,10 @@ Native: DataFrame functions only. One pass over the texts, no shuffle.
 
 Base kinds: assign (a credential word, then a value of 6 or more characters),
 access (AKIA keys of 20 or more) and hex (24 or more digits). The method adds
-`random`: runs of 24 or more characters of the base64 alphabets that hold a
-digit and that no base span touches. Their encoding is inferred (hex, base32,
-alphanumeric, base64) and three tests ask whether the symbols look drawn at
-random from that alphabet:
+`random`: runs of 24 or more characters of the base64 alphabets that no base
+span touches. Their encoding is inferred (hex, base32, base36, letters, each in
+one case; letters and digits in both; base64) and three tests ask whether the
+symbols look drawn at random from that alphabet:
 
 * chi-squared uniformity of the symbols over equal cells of the alphabet, as
   many cells as the length allows (expected count of 5 or more, 2 to 16 cells);
@@ -46,10 +46,19 @@ PATTERNS = {
     "random": rf"[A-Za-z0-9+/_-]{{{LEAST_RANDOM},}}+={{0,2}}",
 }
 _ASSIGNED = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
-# Alphabets, the most special first.
+# Alphabets, the most special first. Those that words are written in have
+# their letters by how common they are in prose: the tests hold for any order of the
+# symbols, and in this one the letters of words crowd into few cells.
+_COMMON = "etaoinsrhldcumfpgwybvkxjqz"
 ALPHABETS = (
     ("^[0-9a-f]+$", "0123456789abcdef"),
+    ("^[0-9A-F]+$", "0123456789ABCDEF"),
+    ("^[a-z]+$", _COMMON),
+    ("^[A-Z]+$", _COMMON.upper()),
     ("^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("^[0-9a-z]+$", "0123456789" + _COMMON),
+    ("^[0-9A-Z]+$", "0123456789" + _COMMON.upper()),
+    ("^[A-Za-z]+$", _COMMON + _COMMON.upper()),
     ("^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/"),
 )
@@ -130,10 +139,9 @@ def detect(df: DataFrame, text: str = "text") -> DataFrame:
         S.find(whole, PATTERNS["access"], "access", 1, always, whole.contains("AKIA")),
         S.find(whole, PATTERNS["hex"], "hex", 2, always),
     ]
-    likely = lambda v: v.rlike("[0-9]")
     long_run = whole.rlike(PATTERNS["random"])
     out = df.withColumn("base_spans", S.in_order(F.concat(*base)))
-    out = out.withColumn("__runs", S.find(whole, PATTERNS["random"], "random", 3, likely, long_run))
+    out = out.withColumn("__runs", S.find(whole, PATTERNS["random"], "random", 3, always, long_run))
     free = F.filter("__runs", lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     rated = F.transform(free, lambda s: F.struct(local_fdr(s["value"]).alias("rate"), s.alias("span")))
     return out.withColumn("spans", S.in_order(F.concat("base_spans", _discoveries(rated)))).drop("__runs")

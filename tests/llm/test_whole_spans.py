@@ -1,6 +1,9 @@
 """Personal data and secrets that a scan must not lose."""
 
-from chronoplace.llm import pii
+import random
+import string
+
+from chronoplace.llm import pii, secrets
 
 DE, SPACED, MT, GB = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "GB82 WEST 1234 5698 7654 32"
 
@@ -29,3 +32,16 @@ def test_ibans_before_any_follower(spark):
         assert all(text[s.start : s.end] == s.value for s in spans)
     redacted = {r.doc_id: r.text for r in pii.redact(table).collect()}
     assert redacted[2] == "<IBAN> Please pay" and redacted[4] == "<IBAN> 2024"
+
+
+def test_random_strings_of_every_encoding_are_found(spark):
+    rng, low, digits = random.Random(2), string.ascii_lowercase, string.digits
+    kinds = {"hex": digits + "ABCDEF", "base36": digits + low, "BASE36": digits + low.upper(), "letters": low, "LETTERS": low.upper(), "Letters": low + low.upper(), "base62": digits + low + low.upper()}
+    table = [(k, "key " + "".join(rng.choice(a) for _ in range(n)) + " end") for k, a in kinds.items() for n in (24, 40) for _ in range(50)]
+    words = "Donaudampfschifffahrtsgesellschaft antidisestablishmentarianism getElementsByClassNameFromDocument electroencephalographically2 the-quick-brown-fox-jumps-over-it INTERNATIONALISIERUNGSPROBLEME".split()
+    table += [("words", w) for w in words]
+    found = {}
+    for r in secrets.detect(spark.createDataFrame(table, "k string, text string")).select("k", "spans").collect():
+        found.setdefault(r.k, []).append(any(s.kind == "random" for s in r.spans))
+    assert not any(found.pop("words"))
+    assert all(sum(v) >= 0.75 * len(v) for v in found.values()), {k: sum(v) for k, v in found.items()}
