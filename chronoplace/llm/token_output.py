@@ -40,6 +40,8 @@ STRIDE = 1024
 PER_SHARD = 4096
 PAD = 0xFFFF
 ROUNDS = 4
+#: Steps of a walk that isn't over after the usual number; the chance that one is longer is nil.
+LONG_WALK = 1 << 12
 #: Distinct pre-tokens that a worker remembers at most; beyond, it starts anew.
 KNOWN = 1 << 19
 
@@ -71,10 +73,14 @@ class Permutation:
 
     def slots(self, df: DataFrame, column: str, name: str = "slot", most: int = 64) -> DataFrame:
         """Adds the slot of each number. The domain is less than four times n, so a walk is over after a few steps;
-        each of the `most` steps leaves at most 3/4 of the rows outside, and the column says if any still is."""
+        each of the `most` steps leaves at most about 3/4 of the rows outside. Those still outside walk LONG_WALK steps
+        more, and the query fails if one is outside even then."""
         out = df.withColumn(name, self.once(F.col(column).cast("long")))
-        walk = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.col(name), lambda x, _: F.when(x < self.n, x).otherwise(self.once(x)))
-        return out.withColumn(name, F.when(F.col(name) < self.n, F.col(name)).otherwise(walk))
+        for steps in (most, LONG_WALK):
+            walk = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col(name), lambda x, _: F.when(x < self.n, x).otherwise(self.once(x)))
+            out = out.withColumn(name, F.when(F.col(name) < self.n, F.col(name)).otherwise(walk))
+        left = F.raise_error(F.lit(f"a number has no slot below {self.n}")).cast("long")
+        return out.withColumn(name, F.when(F.col(name) < self.n, F.col(name)).otherwise(left))
 
 
 def sequences(docs: DataFrame, path: str, stride: int = STRIDE) -> DataFrame:
