@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -27,10 +28,20 @@ def top(vectors: DataFrame, query: list[float], k: int = 200, scope: DataFrame |
     return scores(vectors, query, scope).orderBy(F.desc("dense_score"), "page_id").limit(k)
 
 
+#: Queries that are sent to the executors at once, about: blocks are cut by hash.
+BLOCK = 5_000
+
+
 def top_batch(vectors: DataFrame, queries: DataFrame, k: int = 200) -> DataFrame:
-    """JOI-18: the k best for each of queries(query_id, query), a stated query set whose size is checked before it is sent."""
-    if queries.count() > 10_000:
-        raise ValueError("send at most 10,000 queries at once")
+    """JOI-18: the k best for each of queries(query_id, query), a stated query set that is sent in blocks of about BLOCK."""
+    blocks = -(-queries.count() // BLOCK)
+    if blocks <= 1:
+        return _top_block(vectors, queries, k)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(lambda a, b: a.unionByName(b), [_top_block(vectors, queries.filter(block == i), k) for i in range(blocks)])
+
+
+def _top_block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     pairs = vectors.crossJoin(F.broadcast(queries)).select("query_id", "page_id", dot(F.col("embedding"), F.col("query")).alias("dense_score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("dense_score"), "page_id"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
