@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoplace.operators.aggregates import first_by
+from chronoplace.shared import materialise
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Ends lineage at a table in the folder that all executors share."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="chronoplace-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/chronoplace/bfs-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return materialise(df, "cut")
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, hops: int, keys: tuple[str, ...] = ()) -> DataFrame:
