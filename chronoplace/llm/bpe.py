@@ -19,14 +19,18 @@ The pre-tokeniser is the public pattern
 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
 worked out on classes of code points instead of by a regular expression.
 
+Words are told apart by their bytes, never by a hash alone.
+
 Defined results: null and empty texts have no tokens; repeated rows, also with
-equal doc_ids, give a row each; doc_id may be null.
+equal doc_ids, give a row each; doc_id may be null; bytes that aren't UTF-8 are
+read as U+FFFD.
 """
 
 from __future__ import annotations
 
 import base64
 import sys
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +41,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoplace.llm.shared import materialise, release
-from chronoplace.llm.textnp import _BYTE, BYTE_BASE, Chunk, chunks, range_hash
+from chronoplace.llm.textnp import Chunk, chunks, distinct, tidy, valid
+from chronoplace.shared import materialise
 
 BLOCK_BYTES = 16 << 20
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -181,49 +185,47 @@ _BLOCK = "block long, bucket int, sizes binary, words binary, doc_ids array<long
 
 
 class _Block:
-    """Whole texts that share a list of distinct pre-tokens."""
+    """Whole texts that share a list of distinct pre-tokens. Texts themselves aren't kept."""
 
     def __init__(self) -> None:
-        #: Of each chunk: itself, its distinct pre-tokens (start, end, hash, times) and each token's index into them.
-        self.parts: list[tuple[Chunk, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.place: dict[bytes, int] = {}
+        self.times: list[int] = []
+        #: Of each chunk, each token's index into the list.
+        self.parts: list[np.ndarray] = []
         self.ids: list = []
         self.counts: list[np.ndarray] = []
         self.size = 0
 
     def take(self, chunk: Chunk, ids: list, splitter: Splitter) -> None:
         starts, ends, counts = splitter.split(chunk)
-        hashes = range_hash(_BYTE[chunk.data], starts, ends, BYTE_BASE) if len(starts) else np.zeros(0, np.uint64)
-        values, first, index, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-        self.parts.append((chunk, starts[first], ends[first], values, times, index.astype(np.int32)))
+        if len(starts):
+            _, first, times, index = distinct(chunk.data, starts, ends)
+            raw, place = chunk.data.tobytes(), np.empty(len(first), np.int32)
+            for i, (s, e, n) in enumerate(zip(starts[first].tolist(), ends[first].tolist(), times.tolist(), strict=True)):
+                place[i] = k = self.place.setdefault(raw[s:e], len(self.place))
+                if k == len(self.times):
+                    self.times.append(n)
+                else:
+                    self.times[k] += n
+            self.parts.append(place[index])
         self.ids += ids
         self.counts.append(counts)
         self.size += len(chunk.data)
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Hashes of the distinct pre-tokens, commonest first and equals in byte order (which compresses best), each
-        token's index into them, and their bytes."""
-        values, first, inverse = np.unique(np.concatenate([p[3] for p in self.parts]), return_index=True, return_inverse=True)
-        times = np.bincount(inverse, np.concatenate([p[4] for p in self.parts]), len(values)).astype(np.int64)
-        begins = np.concatenate([[0], np.cumsum([len(p[1]) for p in self.parts])])
-        part = np.searchsorted(begins, first, "right") - 1
-        words: list[bytes] = [b""] * len(first)
-        for k, (chunk, starts, ends, *_) in enumerate(self.parts):
-            mine = np.flatnonzero(part == k)
-            at = first[mine] - begins[k]
-            raw = chunk.data.tobytes()
-            for i, s, e in zip(mine.tolist(), starts[at].tolist(), ends[at].tolist(), strict=True):
-                words[i] = raw[s:e]
-        rare = (-times).tolist()
-        order = np.array(sorted(range(len(words)), key=lambda i: (rare[i], words[i])), np.int64)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        place = place[inverse].astype(np.uint32)
-        sequence = np.concatenate([place[lo : lo + len(p[1])][p[5]] for lo, p in zip(begins.tolist(), self.parts, strict=False)])
-        return values[order], sequence, [words[i] for i in order.tolist()]
+    def distinct(self) -> tuple[np.ndarray, list[bytes]]:
+        """Each token's index into the distinct pre-tokens, and those, commonest first and equals in byte order (which
+        compresses best)."""
+        words, times = list(self.place), self.times
+        order = sorted(range(len(words)), key=lambda i: (-times[i], words[i]))
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        parts, self.parts = self.parts, []
+        sequence = np.concatenate([place[p] for p in parts]) if parts else np.zeros(0, np.uint32)
+        return sequence, [words[i] for i in order]
 
     def rows(self, block: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
-        hashes, sequence, words = self.distinct()
-        bucket = (hashes % np.uint64(n_buckets)).astype(np.int64)
+        sequence, words = self.distinct()
+        bucket = np.array([zlib.crc32(w) for w in words], np.int64) % n_buckets
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
         lists = []
@@ -247,11 +249,12 @@ def _explode(docs: DataFrame, n_buckets: int) -> DataFrame:
 
         number, block = TaskContext.get().partitionId() << 32, _Block()
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            for chunk in map(valid, chunks(batch.column(1))):
                 block.take(chunk, batch.column(0).slice(chunk.first, chunk.n).to_pylist(), splitter)
                 if block.size >= BLOCK_BYTES:
                     yield from block.rows(number, n_buckets)
                     number, block = number + 1, _Block()
+                    tidy()
         if block.ids:
             yield from block.rows(number, n_buckets)
 
@@ -280,6 +283,7 @@ def _encode(words: DataFrame, vocabulary: Vocabulary, n_buckets: int) -> DataFra
                     counts.append(len(got))
                 out.append({"block": row["block"], "bucket": bucket, "n": _pack(np.array(counts)), "ids": _pack(np.array(ids))})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.binary()), ("ids", pa.binary())]))
+            tidy()
 
     dealt = words.repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "block long, bucket int, n binary, ids binary")
@@ -294,7 +298,7 @@ def decode_ids(ids: np.ndarray, counts: np.ndarray, vocabulary: Vocabulary) -> l
     return [whole[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-def _groups(counts: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+def _groups(counts: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about `most` tokens."""
     ends, at = np.cumsum(counts), 0
     while at < len(counts):
@@ -328,13 +332,16 @@ def _reassemble(joined: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                     length = hi[picks] - lo[picks]
                     ends = np.cumsum(length)
                     at = np.repeat(lo[picks] - (ends - length), length)
-                    out = ids[at + np.arange(len(at))]
+                    at += np.arange(len(at))
+                    out = ids[at]
                     edge = np.concatenate([[0], ends])[cut[a : b + 1] - cut[a]]
                     raw = out.astype("<u4").tobytes()
                     yield pa.RecordBatch.from_arrays(
                         [keys.slice(a, b - a), pa.array(np.diff(edge)), pa.array([raw[4 * x : 4 * y] for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)], pa.binary()), pa.array(decode_ids(out, np.diff(edge), vocabulary), pa.binary())],
                         ["doc_id", "n_tokens", "ids", "decoded"],
                     )
+                del sequence, ids, lo, hi, starts
+                tidy()
 
     return joined.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
 
@@ -345,7 +352,6 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     vocabulary = Vocabulary(path)
     n_buckets = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = materialise(_explode(docs, n_buckets), "blocks", "none")
-    release(spark)
     coded = _encode(blocks.filter("bucket is not null").select("block", "bucket", "sizes", "words"), vocabulary, n_buckets)
     lists = coded.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "ids")).alias("lists"))
     texts = blocks.filter("bucket is null").select("block", "doc_ids", "counts", "buckets", "sequence")

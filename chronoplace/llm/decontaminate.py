@@ -11,7 +11,9 @@ an occurrence, nor can a word pair that no item has. So a shard's text is cut to
 the stretches whose neighbouring word pairs all occur in items and that are as
 long as the shortest window. That loses no occurrence, and documents without
 benchmark text cost a vocabulary lookup. A shard closes when SHARD_SYMBOLS words
-have entered, which bounds memory whatever the partition holds.
+have entered or SHARD_BYTES of text have been read, which bounds memory whatever
+the partition holds. Indexes aren't kept: cut to one benchmark's stretches, an
+index can't serve another, and an index of whole texts would be larger than they.
 
 The benchmark is a stated query set: it is split into blocks of at most
 BLOCK_WORDS words by item, each block is one map over all documents, and no
@@ -20,7 +22,8 @@ and non-ASCII characters.
 
 Defined results: null or empty texts have no words and are clean; items without
 words are ignored; a null item_id is written as the empty string; items with
-equal ids count once; repeated documents give repeated results.
+equal ids count once; repeated documents give repeated results; bytes that
+aren't UTF-8 count as word characters and pass through unchanged.
 """
 
 from __future__ import annotations
@@ -32,11 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoplace.llm.shared import materialise
-from chronoplace.llm.textnp import ALNUM, Words, chunks, covered
+from chronoplace.llm.textnp import ALNUM, Words, chunks, covered, strings
+from chronoplace.shared import materialise
 
 WINDOW = 13
-SHARD_SYMBOLS = 1 << 20
+#: A shard closes when so many words have entered its index, or so many bytes of text have been read for it.
+SHARD_SYMBOLS, SHARD_BYTES = 1 << 18, 8 << 20
 BLOCK_WORDS = 1 << 21
 SAMPLE = 8
 
@@ -173,15 +177,23 @@ class Phrases:
         return codes, start[long], stop[long]
 
 
+class _Member:
+    """What a shard keeps of a chunk: its place in the batch and its texts' words, not their bytes."""
+
+    def __init__(self, words: Words) -> None:
+        self.row, self.n, self.first, self.counts = words.chunk.first, words.chunk.n, words.first, words.counts
+
+
 class _Shard:
     """Documents since the last index was built, and their stretches."""
 
     def __init__(self) -> None:
         self.codes: list[np.ndarray] = []
         self.word: list[np.ndarray] = []
-        self.symbols = self.words = 0
+        self.members: list[_Member] = []
+        self.symbols = self.words = self.bytes = 0
 
-    def take(self, codes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
+    def take(self, words: Words, codes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
         if len(start):
             length = stop - start
             at = np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
@@ -190,6 +202,12 @@ class _Shard:
             self.word.append(np.insert(at, ends, -1) + self.words * (np.insert(at, ends, -1) >= 0))
             self.symbols += len(self.codes[-1])
         self.words += len(codes)
+        self.bytes += len(words.chunk.data)
+        self.members.append(_Member(words))
+
+    @property
+    def full(self) -> bool:
+        return self.symbols >= SHARD_SYMBOLS or self.bytes >= SHARD_BYTES
 
     def hits(self, phrases: Phrases) -> Iterator[tuple[np.ndarray, np.ndarray, int, list]]:
         """(first words, pattern of each, length, items of patterns) for each window length."""
@@ -205,46 +223,50 @@ class _Shard:
                 yield word[index.locate(rows)], np.repeat(np.arange(len(patterns)), n), k, items
 
 
+def _close(shard: _Shard, phrases: Phrases, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a shard with this block's spans and items added to those of the blocks before."""
+    members = shard.members
+    starts = np.cumsum([0, *(len(m.first) and int(m.first[-1]) for m in members)])
+    edges, pairs = [], set()
+    owner = np.concatenate([starts[k] + m.first[:-1] for k, m in enumerate(members)])  # first word of each text
+    filled = np.flatnonzero(np.concatenate([m.counts for m in members]) > 0)
+    for at, pattern, k, items in shard.hits(phrases):
+        edges.append((at, k))
+        both = np.unique(filled[np.searchsorted(owner[filled], at, "right") - 1] * len(items) + pattern)
+        for d, p in zip((both // len(items)).tolist(), (both % len(items)).tolist(), strict=True):
+            pairs.update((d, i) for i in items[p])
+    found: dict[int, list[str]] = {}
+    for d, i in pairs:
+        found.setdefault(d, []).append(i)
+    hit = np.zeros(shard.words, bool)
+    for at, k in edges:
+        hit |= covered(len(hit), at, k)
+    done = 0
+    for m, w in enumerate(members):
+        own = hit[starts[m] : starts[m + 1]]
+        rows = batch.slice(w.row, w.n)
+        old_spans, old_items = rows.column(3).to_pylist(), rows.column(4).to_pylist()
+        spans, items = [], []
+        for i in range(w.n):
+            mine = own[w.first[i] : w.first[i + 1]]
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], mine.astype(np.int8), [0]]))) if mine.any() else mine[:0]
+            spans.append((old_spans[i] or []) + [{"at": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
+            items.append((old_items[i] or []) + sorted(found.get(done + i, [])))
+        done += w.n
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(w.counts.astype(np.int64)), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string())), rows.column(5)], _NAMES)
+
+
 def _scan(phrases: Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds this block's spans and items to those of the blocks before."""
     for batch in batches:
-        shard, members = _Shard(), []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            starts = np.cumsum([0, *(len(w.starts) for w in members)])
-            hit = np.zeros(shard.words, bool)
-            owner = np.repeat(np.arange(sum(w.chunk.n for w in members)), np.concatenate([w.counts for w in members]))
-            pairs: set[tuple[int, str]] = set()
-            for at, pattern, k, items in shard.hits(phrases):
-                hit |= covered(len(hit), at, k)
-                both = np.unique(owner[at] * len(items) + pattern)
-                for d, p in zip((both // len(items)).tolist(), (both % len(items)).tolist(), strict=True):
-                    pairs.update((d, i) for i in items[p])
-            found: dict[int, list[str]] = {}
-            for d, i in pairs:
-                found.setdefault(d, []).append(i)
-            done = 0
-            for m, w in enumerate(members):
-                own = hit[starts[m] : starts[m + 1]]
-                rows = batch.slice(w.chunk.first, w.chunk.n)
-                old_spans, old_items = rows.column(3).to_pylist(), rows.column(4).to_pylist()
-                spans, items = [], []
-                for i in range(w.chunk.n):
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], own[w.first[i] : w.first[i + 1]].astype(np.int8), [0]])))
-                    spans.append((old_spans[i] or []) + [{"at": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
-                    items.append((old_items[i] or []) + sorted(found.get(done + i, [])))
-                done += w.chunk.n
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(w.counts.astype(np.int64)), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string())), rows.column(5)], _NAMES)
-
+        shard = _Shard()
         for chunk in chunks(batch.column(1)):
             words = Words(chunk, ALNUM, True)
-            shard.take(*phrases.stretches(words))
-            members.append(words)
-            if shard.symbols >= SHARD_SYMBOLS:
-                yield from close()
-                shard, members = _Shard(), []
-        if members:
-            yield from close()
+            shard.take(words, *phrases.stretches(words))
+            if shard.full:
+                yield from _close(shard, phrases, batch)
+                shard = _Shard()
+        if shard.members:
+            yield from _close(shard, phrases, batch)
 
 
 _SPANS = pa.list_(pa.struct([("at", pa.int64()), ("end", pa.int64())]))
@@ -257,7 +279,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batch.column(1)):
             w = Words(chunk, ALNUM, True)
             rows = batch.slice(chunk.first, chunk.n)
-            texts, merged, hits, items = rows.column(1).to_pylist(), [], [], []
+            texts, merged, hits, items = rows.column(1).cast(pa.binary()).to_pylist(), [], [], []
             for i, (spans, named) in enumerate(zip(rows.column(3).to_pylist(), rows.column(4).to_pylist(), strict=True)):
                 out: list[dict] = []
                 for s in sorted(spans, key=lambda s: s["at"]):
@@ -274,8 +296,8 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         begin, end = w.starts[first + s["at"]] - chunk.bounds[i], w.ends[first + s["end"] - 1] - chunk.bounds[i]
                         parts.append(whole[at:begin])
                         at = end
-                    texts[i] = b"".join([*parts, whole[at:]]).decode()
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(texts, pa.string()), rows.column(2), pa.array(hits, pa.int64()), pa.array(merged, _SPANS), pa.array(items, pa.list_(pa.string())), rows.column(5)], ["doc_id", "kept_text", "n_words", "n_hit", "spans", "items", "extra"])
+                    texts[i] = b"".join([*parts, whole[at:]])
+            yield pa.RecordBatch.from_arrays([rows.column(0), strings(texts), rows.column(2), pa.array(hits, pa.int64()), pa.array(merged, _SPANS), pa.array(items, pa.list_(pa.string())), rows.column(5)], ["doc_id", "kept_text", "n_words", "n_hit", "spans", "items", "extra"])
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Phrases]:

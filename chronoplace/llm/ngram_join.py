@@ -28,7 +28,8 @@ Defined results: a text of fewer than five words has its whole sequence as its
 one shingle; null, empty and wordless texts have none and link with nothing; a
 null doc_id has a null component and links nothing; rows with one doc_id count as
 one document for reachability; repeated rows give a row each. A set is known by a
-64-bit digest of its 64-bit shingle hashes.
+128-bit digest of its shingle hashes: its first half is the node's number, and where
+two sets share that, all but one of them go by their second half.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoplace.llm.components import components
-from chronoplace.llm.shared import materialise, release
-from chronoplace.llm.textnp import NON_SPACE, WORD_BASE, Words, chunks, mix, range_hash
+from chronoplace.llm.textnp import NON_SPACE, SECOND, Words, chunks, mix, pair
+from chronoplace.shared import drop, materialise
 
 WORDS = 5
 SKETCH = 22
@@ -53,57 +54,78 @@ HOT = 64
 SHARE, PAIR = (75, 100), (7, 3)
 
 
-def shingle_sets(w: Words, k: int = WORDS) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text of a chunk."""
-    grams, at = w.grams(k)
-    short = np.flatnonzero((w.counts > 0) & (w.counts < k))
-    whole = dict(zip(short.tolist(), range_hash(w.hash, w.first[short], w.first[short + 1], WORD_BASE).tolist(), strict=True)) if len(short) else {}
-    edges = np.searchsorted(at, w.first)
-    for i in range(w.chunk.n):
-        if i in whole:
-            yield np.array([whole[i]], np.uint64)
-        else:
-            yield np.unique(grams[edges[i] : edges[i + 1]])
+class Sets:
+    """The shingle sets of a chunk's texts: `values`, sorted and distinct within [edges[i], edges[i + 1]) of text i."""
 
+    def __init__(self, w: Words, k: int = WORDS) -> None:
+        grams, at = w.grams(k)
+        owner = w.owner()[at] if len(at) else at
+        short = np.flatnonzero((w.counts > 0) & (w.counts < k))
+        if len(short):
+            grams, owner = np.concatenate([grams, w.sequences(short)]), np.concatenate([owner, short])
+        order = np.lexsort((grams, owner))
+        grams, owner = grams[order], owner[order]
+        fresh = np.ones(len(grams), bool)
+        fresh[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
+        self.values, self.owner = grams[fresh], owner[fresh]
+        self.edges = np.searchsorted(self.owner, np.arange(w.chunk.n + 1))
+        self.sizes = np.diff(self.edges)
 
-def set_id(s: np.ndarray) -> int | None:
-    """A signed 64-bit digest of a set; None for the empty one."""
-    if not len(s):
-        return None
-    total = np.array([np.add.reduce(mix(s)), np.bitwise_xor.reduce(s), len(s)], np.uint64)
-    return int(mix(total[:1] + mix(total[1:2] + mix(total[2:])))[0].astype(np.int64))
+    def of(self, i: int) -> np.ndarray:
+        return self.values[self.edges[i] : self.edges[i + 1]]
 
+    def digests(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(texts with a set, and the two halves of each one's digest): sums of its shingles under two mixers."""
+        full = np.flatnonzero(self.sizes)
+        if not len(full):
+            return full, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        n = self.sizes[full].astype(np.uint64)
+        one, two = (np.add.reduceat(mix(self.values ^ np.uint64(salt)), self.edges[full]) for salt in (0, SECOND))
+        return full, pair(one, n), pair(two, one ^ n)
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+    def nodes(self, strays: frozenset[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(texts with a set, node of each, second half of each one's digest)."""
+        full, one, two = self.digests()
+        node, check = node_half(one).view(np.int64), two.view(np.int64)
+        if strays:
+            stray = np.array([x in strays for x in zip(node.tolist(), check.tolist(), strict=True)], bool)
+            node = np.where(stray, check, node)
+        return full, node, check
+
+
+def node_half(one: np.ndarray) -> np.ndarray:
+    """The half of a digest that numbers nodes."""
+    return one
+
+
+def _sets_of(column: pa.Array) -> Iterator[tuple[object, Sets]]:
+    for chunk in chunks(column):
+        yield chunk, Sets(Words(chunk, NON_SPACE, True))
+
+
+_SETS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("n", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """A row for each document (node, n), and each task's shingle counts in slices."""
+    """A row for each document (node, check, n), and each task's shingle counts in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, waiting, held = np.zeros(1 << SKETCH, np.uint32), [], 0
+        counts = np.zeros(1 << SKETCH, np.uint8)
         for batch in batches:
-            for chunk in chunks(batch.column(2)):
-                nodes, sizes = [], []
-                for s in shingle_sets(Words(chunk, NON_SPACE, True)):
-                    nodes.append(set_id(s))
-                    sizes.append(len(s))
-                    waiting.append((s >> np.uint64(64 - SKETCH)).astype(np.int32))
-                    held += len(s)
-                if held >= 1 << SKETCH:
-                    counts += np.bincount(np.concatenate(waiting), minlength=1 << SKETCH).astype(np.uint32)
-                    waiting, held = [], 0
+            for chunk, sets in _sets_of(batch.column(2)):
+                cells, times = np.unique(sets.values >> np.uint64(64 - SKETCH), return_counts=True)
+                counts[cells] = np.minimum(counts[cells] + times, 255)
+                full, node, check = sets.nodes(frozenset())
+                ids = np.full(chunk.n, -1)
+                ids[full] = np.arange(len(full))
+                pick = pa.array(ids, mask=ids < 0)
                 none = pa.nulls(chunk.n, pa.int32()), pa.nulls(chunk.n, pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(chunk.first, chunk.n) for i in (0, 1)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *none], schema=_SETS)
-        if waiting:
-            counts += np.bincount(np.concatenate(waiting), minlength=1 << SKETCH).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(chunk.first, chunk.n) for i in (0, 1)), pa.array(node).take(pick), pa.array(check).take(pick), pa.array(sets.sizes.astype(np.int64)), *none], schema=_SETS)
         if counts.any():
-            width = (1 << SKETCH) // SLICES
-            most = np.minimum(counts, 255).astype(np.uint8)
             none = pa.nulls(SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array(range(SLICES), pa.int32()), pa.array([most[i * width : (i + 1) * width].tobytes() for i in range(SLICES)])], schema=_SETS)
+            yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in counts.reshape(SLICES, -1)])], schema=_SETS)
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, node long, n long, slice int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, text_key long, node long, check long, n long, slice int, counts binary")
 
 
 def _order(rows: DataFrame) -> tuple[np.ndarray, int]:
@@ -124,27 +146,25 @@ def _order(rows: DataFrame) -> tuple[np.ndarray, int]:
     return cells, max(1000, min(int(HOT * cells.mean()), 0xFFFF))
 
 
-def _columns(docs: DataFrame, cells: np.ndarray, hot: int) -> DataFrame:
+def _columns(docs: DataFrame, cells: np.ndarray, hot: int, strays: frozenset[tuple[int, int]]) -> DataFrame:
     """token, node, n, pos, hot: the first n - ceil(0.75 n) + 1 shingles of each set, rare ones first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(0)):
-                tokens, nodes, sizes, places, often = [], [], [], [], []
-                for s in shingle_sets(Words(chunk, NON_SPACE, True)):
-                    if not len(s):
-                        continue
-                    n = len(s)
-                    take = n - -(-SHARE[0] * n // SHARE[1]) + 1
-                    count = cells[s >> np.uint64(64 - SKETCH)]
-                    first = np.lexsort((s, count))[:take]
-                    tokens.append(s[first])
-                    often.append(count[first] >= hot)
-                    nodes.append(np.full(take, set_id(s), np.int64))
-                    sizes.append(np.full(take, n, np.int64))
-                    places.append(np.arange(take, dtype=np.int64))
-                if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([t.view(np.int64) for t in tokens], nodes, sizes, places, often)], ["token", "node", "n", "pos", "hot"])
+            for _, sets in _sets_of(batch.column(0)):
+                full, node, _ = sets.nodes(strays)
+                if not len(full):
+                    continue
+                count = cells[sets.values >> np.uint64(64 - SKETCH)]
+                order = np.lexsort((sets.values, count, sets.owner))
+                place = np.arange(len(order)) - np.repeat(sets.edges[:-1], sets.sizes)
+                take = sets.sizes - -(-SHARE[0] * sets.sizes // SHARE[1]) + 1
+                good = place < take[sets.owner]
+                first, of = order[good], np.searchsorted(full, sets.owner[good])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (sets.values[first].view(np.int64), node[of], sets.sizes[full][of].astype(np.int64), place[good].astype(np.int64), count[first] >= hot)],
+                    ["token", "node", "n", "pos", "hot"],
+                )
 
     return docs.select("text").mapInArrow(run, "token long, node long, n long, pos long, hot boolean")
 
@@ -172,11 +192,13 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             good = []
             a, ta = batch.column(0).to_pylist(), batch.column(2)
             at = 0
-            for chunk in chunks(batch.column(3)):
-                for other in shingle_sets(Words(chunk, NON_SPACE, True)):
+            for chunk, sets in _sets_of(batch.column(3)):
+                for i in range(chunk.n):
+                    other = sets.of(i)
                     if a[at] != last:
                         last = a[at]
-                        (mine,) = [s for c in chunks(ta.slice(at, 1)) for s in shingle_sets(Words(c, NON_SPACE, True))]
+                        ((_, one),) = _sets_of(ta.slice(at, 1))
+                        mine = one.of(0)
                     both = len(mine) + len(other)
                     few, many = (mine, other) if len(mine) < len(other) else (other, mine)
                     overlap = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum()) if len(few) * 4 >= len(many) * 3 else 0
@@ -206,8 +228,8 @@ def _partners(entries: DataFrame) -> DataFrame:
     return best.select(F.col("best.hub").alias("a"), F.col("node").alias("b"))
 
 
-def _product(entries: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that may still reach the bound. entries: token, node, n, pos, component."""
+def _product(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, the working table that they read). Pairs (a, b) of nodes of different components that may still reach the bound. entries: token, node, n, pos, component."""
     mixed = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("token")
     # In the first column that two nodes share, neither holds an earlier shingle of the other: from there on they have
     # at most n - pos left to share. So a pair that links passes the bound there, and is met there at the latest; the
@@ -226,35 +248,42 @@ def _product(entries: DataFrame) -> DataFrame:
     cells = rows.join(right, ["token", "cb"]).filter("4 * na >= 3 * nb and 4 * nb >= 3 * na and 7 * least(ra, rb) >= 3 * (na + nb)")
     sums = cells.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     bound = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    return sums.filter(PAIR[0] * bound >= PAIR[1] * (F.col("na") + F.col("nb"))).select("a", "b")
+    return sums.filter(PAIR[0] * bound >= PAIR[1] * (F.col("na") + F.col("nb"))).select("a", "b"), entries
+
+
+def _strays(sets: DataFrame) -> frozenset[tuple[int, int]]:
+    """(node, check) of the sets that share a node with another set of a lesser check; of n sets some n**2 / 2**65 do."""
+    clash = sets.filter("node is not null").groupBy("node").agg(F.min("check").alias("least"), F.max("check").alias("most")).filter("least != most")
+    rows = sets.join(clash, "node").filter("check != least").select("node", "check").distinct()
+    return frozenset((r.node, r.check) for r in rows.collect())
 
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs(doc_id, text)."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     rows = materialise(_sets(docs), "sets")
-    sets = rows.filter("slice is null").select("doc_id", "text_key", "node", "n")
+    sets = rows.filter("slice is null").select("doc_id", "text_key", "node", "check", "n")
     cells, hot = _order(rows.filter("slice is not null").select("slice", "counts"))
+    strays = _strays(sets)
+    if strays:
+        known_as = F.array(*(F.struct(F.lit(a).alias("node"), F.lit(b).alias("check")) for a, b in sorted(strays)))
+        sets = sets.withColumn("node", F.when(F.array_contains(known_as, F.struct("node", "check")), F.col("check")).otherwise(F.col("node")))
     known = docs.filter("doc_id is not null and text is not null")
-    release(spark)
-    entries = materialise(_shared(_columns(known, cells, hot)), "columns")
-    release(spark)
+    entries = materialise(_shared(_columns(known, cells, hot, strays)), "columns")
     holders = entries.select("node").distinct()
     who = sets.filter("doc_id is not null and node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("who"))
     keys = who.join(holders, "node", "left_semi").select("node", "who.doc_id", "who.text_key")
     texts = materialise(known.join(keys, ["doc_id", "text_key"]).select("node", "text").dropDuplicates(["node"]), "texts")
-    release(spark)
-    links = materialise(_verify(_partners(entries), texts), "links")
-    release(spark)
-    group = components(links)
+    near = materialise(_verify(_partners(entries), texts), "links")
+    group = components(near)
     placed = entries.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    pairs = materialise(_product(placed), "pairs")
-    release(spark)
-    more = _verify(pairs, texts)
-    links = materialise(links.unionByName(more), "links")
-    release(spark)
+    pairs, mixed = _product(placed)
+    pairs = materialise(pairs, "pairs")
+    drop(entries, mixed)
+    links = materialise(near.unionByName(_verify(pairs, texts)), "links")
+    drop(near, pairs, texts)
     group = components(links)
+    drop(links)
     # rows that share a doc_id tie their components together
     placed = sets.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return _least(placed)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoplace.llm.textnp import NON_SPACE, Words, chunks, covered, mix, range_hash, BYTE_BASE, _BYTE
+from chronoplace.llm.textnp import NON_SPACE, Words, bytes_hash, chunks, covered, pair
 
 TRAIN_ROWS = 20_000
 KEEP = 0.5
@@ -58,7 +58,7 @@ def _per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _times(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """How often each value occurs in its own text; (count of each, first index of each distinct, inverse)."""
-    keyed = mix(hashes ^ (owner.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
+    keyed = pair(hashes, owner.astype(np.uint64))
     _, first, inverse, counts = np.unique(keyed, return_index=True, return_inverse=True, return_counts=True)
     return counts[inverse], first, counts
 
@@ -81,7 +81,7 @@ def measure(w: Words) -> tuple[dict[str, np.ndarray], np.ndarray]:
     starts, ends, line_owner = starts[real], ends[real], line_owner[real]
     lines = np.bincount(line_owner, minlength=n)
     if len(starts):
-        _, first, _ = _times(line_owner, range_hash(_BYTE[data], starts, ends, BYTE_BASE))
+        _, first, _ = _times(line_owner, bytes_hash(data, starts, ends))
         dup_lines = lines - np.bincount(line_owner[first], minlength=n)
     else:
         dup_lines = np.zeros(n, np.int64)
@@ -207,9 +207,14 @@ def labelled_sample(labels: DataFrame, column: str, most: int, where=None) -> Da
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def labelled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """label and text of the chosen doc_ids, one row for each: of rows that repeat an id the least text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Trees:
-    chosen = labelled_sample(labels, "quality", most)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
+    rows = labelled_texts(docs, labelled_sample(labels, "quality", most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Trees:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
 
     got = rows.mapInArrow(run, "label int, x array<double>").toArrow()
-    # a repeated doc_id gives a row each; rows are put in order so that the model doesn't depend on partitioning
+    # rows are put in order so that the model doesn't depend on partitioning
     x = np.asarray(got["x"].combine_chunks().flatten()).reshape(-1, len(FEATURES)) if got.num_rows else np.zeros((0, len(FEATURES)))
     y = got["label"].to_numpy().astype(float)
     order = np.lexsort((y, *x.T[::-1])) if len(y) else np.zeros(0, int)

@@ -7,27 +7,32 @@ document with a smaller doc_id. Windows are judged on the input.
    words has 26 of them, and the least is its anchor. Equal windows have equal
    anchors, so only anchors that more than one document holds can matter. There
    are about two anchors for every 27 words.
-2. The index keeps (anchor, first doc_id, last doc_id) in sorted immutable runs,
-   one per batch. A new batch's run is merge-joined with the history: anchors
-   seen before, or in two documents of the batch, become candidates. Runs are
-   then compacted into one.
+2. The index keeps (anchor, first doc_id, last doc_id) in immutable runs: tables
+   bucketed and sorted by anchor. A new batch's run is merge-joined with each run
+   of the history where it lies, without an exchange: anchors seen before, or in
+   two documents of the batch, become candidates. When FANOUT runs of a level have
+   gathered they are merged, bucket by bucket, into one of the next level, so a
+   row is rewritten as often as there are levels. A manifest names the runs;
+   `FingerprintIndex.open` takes an index up again in another session.
 3. Verification. Documents that hold candidates are read again, and each maximal
    stretch of windows with one candidate anchor becomes a row with the 64-bit
-   hashes of its windows, made by a function of their own. (anchor, window hash)
-   is the 128-bit identity of a window's word sequence. Equal stretches fold into
-   one group with the least doc_id, which settles whole copies without pairs;
+   hashes of its windows, made from word hashes of another salt. (anchor, window
+   hash) is the 128-bit identity of a window's word sequence. Equal stretches fold
+   into one group with the least doc_id, which settles whole copies without pairs;
    only anchors with different stretches are compared window by window, by the
-   least doc_id of each window. Both steps combine before they shuffle, and what
-   joins back is a lookup that Spark can split where a key is hot.
+   least doc_id of each window. They are dealt by anchor and a salt, then by window,
+   so an anchor that a third of all documents hold is spread over many tasks.
 4. Removal spans return to their documents and are merged.
 
 Nothing is gathered on the driver but batch bounds. Tables between the steps are
-written to the shared folder, so a lost executor costs a task, not the job.
+written to the shared folder, so a lost executor costs a task, not the job; each
+is deleted once the next one stands.
 
 Defined results: null or empty texts have no words; a null doc_id neither
 removes nor loses words; rows with equal doc_id count as one document (a window
 in two of them is not "smaller"); repeated rows give repeated results; input
-columns other than doc_id and text are ignored.
+columns other than doc_id and text are ignored. Bytes that aren't UTF-8 pass
+through unchanged.
 """
 
 from __future__ import annotations
@@ -39,22 +44,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoplace.llm.shared import materialise, release
-from chronoplace.llm.textnp import NON_SPACE, OTHER_BASE, WORD_BASE, Words, chunks, covered, range_hash
+from chronoplace.llm.textnp import NON_SPACE, SECOND, Words, chunks, covered, runs, strings, sums
+from chronoplace.shared import cleaning, drop, fresh_path, materialise, remove
 
 WINDOW = 50
 GRAM = 25
-_STRETCH_BASE = 0xC2B2AE3D27D4EB4F
+#: Runs of one level that are merged into one of the next.
+FANOUT = 2
+#: Tasks that the stretches of one anchor are dealt to.
+SALT = 16
 
 
 def _window_anchors(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """(start word, anchor) of every window: the least of the gram hashes that the window holds."""
-    _, at = words.grams(window)
+    at = words.places(window)
     if not len(at):
         return at, np.zeros(0, np.uint64)
-    n = len(words.starts) - gram + 1
-    every = np.arange(n)
-    least = range_hash(words.hash, every, every + gram, WORD_BASE)
+    least = runs(words.hash, gram)
     width, have = window - gram + 1, 1
     while 2 * have <= width:
         least = np.minimum(least[: len(least) - have], least[have:])
@@ -98,53 +104,109 @@ def fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (anchor, first, last); every method leaves older runs as they are."""
-
-    def __init__(self, spark: SparkSession, most_runs: int = 2) -> None:
-        self.spark, self.most_runs = spark, most_runs
-        self.runs: list[DataFrame] = []
-        self.prints: list[DataFrame] = []
-        self.found: list[DataFrame] = []
-
-    def _sorted(self, rows: DataFrame) -> DataFrame:
-        run = rows.groupBy("anchor").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-        return materialise(run.sortWithinPartitions("anchor"), "run")
+    """Immutable runs of (anchor, first, last), bucketed and sorted by anchor; every method leaves older runs as they are."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, fanout: int = FANOUT) -> None:
+        self.spark, self.fanout = spark, fanout
+        self.path = path or fresh_path(spark, "index")
+        self.buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        #: (kind, level, path) of what the index consists of: runs, prints of each batch, found anchors.
+        self.parts: list[tuple[str, int, str]] = []
+        self.version = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index that was built at path, by whatever session."""
+        rows = spark.read.schema("version int, buckets int, fanout int, kind string, level int, part string").json(f"{path}/manifest-*").collect()
+        last = max(r.version for r in rows)
+        rows = [r for r in rows if r.version == last]
+        index = cls(spark, path, rows[0].buckets, rows[0].fanout)
+        index.parts, index.version = [(r.kind, r.level, r.part) for r in rows], last
+        return index
+
+    def _commit(self) -> None:
+        """Writes the next manifest: a handful of rows for each level and batch."""
+        self.version += 1
+        rows = [(self.version, self.buckets, self.fanout, *part) for part in self.parts]
+        self.spark.createDataFrame(rows, "version int, buckets int, fanout int, kind string, level int, part string").coalesce(1).write.json(f"{self.path}/manifest-{self.version:06d}")
+
+    def _paths(self, kind: str, level: int | None = None) -> list[str]:
+        return [p for k, n, p in self.parts if k == kind and level in (None, n)]
+
+    def run(self, path: str) -> DataFrame:
+        """A run as a table that Spark knows to be dealt by anchor."""
+        name = "chronoplace_run_" + path.rpartition("-")[2]
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (anchor BIGINT, first BIGINT, last BIGINT) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        return self.spark.table(name)
+
+    def _write_run(self, rows: DataFrame, level: int) -> str:
+        path = fresh_path(self.spark, "run")
+        name = "chronoplace_run_" + path.rpartition("-")[2]
+        with cleaning(self.spark):
+            rows.select("*").write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", path).option("compression", "zstd").saveAsTable(name)
+        self.parts.append(("run", level, path))
+        return path
+
+    def _table(self, kind: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*self._paths(kind))
+
+    def met(self, run: DataFrame, older: DataFrame) -> DataFrame:
+        """Anchors that a batch's run shares with a run of the history: a merge join of buckets."""
+        both = run.hint("merge").join(older.select("anchor", F.col("first").alias("f"), F.col("last").alias("l")), "anchor")
+        # a document that two batches share is one document
+        return both.filter("first != last or f != l or first != f").select("anchor")
 
     def add(self, batch: DataFrame) -> None:
         """Takes a batch in: its run, its candidates against the history, compaction."""
         prints = materialise(fingerprints(batch), "prints")
         rows = prints.select(F.explode("anchors").alias("anchor"), F.col("doc_id").alias("first"), F.col("doc_id").alias("last"))
-        run = self._sorted(rows)
-        self.found.append(run.filter("first < last").select("anchor"))
-        for older in self.runs:
-            # a document that two batches share is one document
-            met = run.hint("merge").join(older.select("anchor", F.col("first").alias("f"), F.col("last").alias("l")), "anchor")
-            self.found.append(met.filter("first != last or f != l or first != f").select("anchor"))
-        self.prints.append(prints)
-        self.runs.append(run)
-        if len(self.runs) >= self.most_runs:
-            self.compact()
-
-    def compact(self) -> None:
-        """Merges all runs into one."""
-        both = self.runs[0]
-        for run in self.runs[1:]:
-            both = both.unionByName(run)
-        self.runs = [self._sorted(both)]
+        history = [self.run(p) for p in self._paths("run")]
+        # combined before it is dealt, into as many parts as there are buckets: a task writes whole buckets
+        with cleaning(self.spark, self.buckets):
+            run = self.run(self._write_run(rows.groupBy("anchor").agg(F.min("first").alias("first"), F.max("last").alias("last")), 0))
+        found = run.filter("first < last").select("anchor")
+        for older in history:
+            found = found.unionByName(self.met(run, older))
+        self.parts += [("prints", 0, prints._chronoplace_path), ("found", 0, materialise(found, "found")._chronoplace_path)]
+        level = 0
+        while len(self._paths("run", level)) >= self.fanout:
+            self.compact(level)
+            level += 1
+        self._commit()
+
+    def compact(self, level: int) -> None:
+        """Merges the runs of a level into one of the next, each bucket with its like."""
+        old = self._paths("run", level)
+        both = self.run(old[0])
+        for path in old[1:]:
+            other = self.run(path).select(F.col("anchor").alias("a"), F.col("first").alias("f"), F.col("last").alias("l"))
+            both = both.hint("merge").join(other, F.col("anchor") == F.col("a"), "full").select(F.coalesce("anchor", "a").alias("anchor"), F.least("first", "f").alias("first"), F.greatest("last", "l").alias("last"))
+        self._write_run(both, level + 1)
+        self.parts = [p for p in self.parts if p[2] not in old]
+        for path in old:
+            self._forget(path)
+
+    def _forget(self, path: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS chronoplace_run_{path.rpartition('-')[2]}")
+        remove(self.spark, path)
+
+    def close(self, delete: bool = False) -> None:
+        """Takes the runs out of the session's catalogue; deletes the index if asked to."""
+        for kind, _, path in self.parts:
+            if kind == "run":
+                self.spark.sql(f"DROP TABLE IF EXISTS chronoplace_run_{path.rpartition('-')[2]}")
+            if delete:
+                remove(self.spark, path)
+        if delete:
+            remove(self.spark, self.path)
 
     def candidates(self) -> DataFrame:
         """Anchors that two or more documents hold."""
-        out = self.found[0]
-        for more in self.found[1:]:
-            out = out.unionByName(more)
-        return out.distinct()
+        return self._table("found", "anchor long").distinct()
 
     def holders(self) -> DataFrame:
         """doc_id, text_key and the candidate anchors of each document that has any."""
-        prints = self.prints[0]
-        for more in self.prints[1:]:
-            prints = prints.unionByName(more)
-        rows = prints.select("doc_id", "text_key", F.explode("anchors").alias("anchor"))
+        rows = self._table("prints", "doc_id long, text_key long, anchors array<long>").select("doc_id", "text_key", F.explode("anchors").alias("anchor"))
         return rows.join(self.candidates(), "anchor", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("anchors"))
 
 
@@ -173,10 +235,10 @@ def _windows(joined: DataFrame, window: int, gram: int) -> DataFrame:
                 at, anchor, owner = at[good], anchor[good], owner[good]
                 if not len(at):
                     continue
-                prints = range_hash(w.hash, at, at + window, OTHER_BASE)
+                prints = w.runs(window, SECOND)[at]
                 first = _stretches(owner, at, anchor)
                 last = np.append(first[1:], len(at))
-                digest = range_hash(prints, first, last, _STRETCH_BASE)
+                digest = sums(prints, first, last - first)
                 ids = [batch.column(i).slice(chunk.first, chunk.n).take(pa.array(owner[first])) for i in (0, 1)]
                 starts = (at[first] - w.first[owner[first]]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -187,12 +249,14 @@ def _windows(joined: DataFrame, window: int, gram: int) -> DataFrame:
     return joined.mapInArrow(run, "anchor long, digest long, doc_id long, text_key long, at long, prints array<long>")
 
 
-def _spans(stretches: DataFrame) -> DataFrame:
-    """doc_id, text_key, at, n: windows [at, at + n) of a document that also start in one with a smaller doc_id."""
+def _spans(stretches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, the working table that they read); rows: doc_id, text_key, at, n: windows [at, at + n) of a document that also start in one with a smaller doc_id."""
     key = ["anchor", "digest"]
     folded = materialise(stretches.groupBy(*key).agg(F.min("doc_id").alias("least"), F.any_value("prints").alias("prints")), "folded")
-    mixed = folded.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    windows = folded.join(mixed, "anchor", "left_semi").select(*key, "least", F.posexplode("prints").alias("offset", "print"))
+    mixed = folded.groupBy("anchor").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo != hi")
+    mixed = mixed.select("anchor", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    salted = folded.withColumn("salt", F.pmod("digest", F.lit(SALT)).cast("int"))
+    windows = salted.join(mixed, ["anchor", "salt"], "left_semi").select(*key, "least", F.posexplode("prints").alias("offset", "print"))
     shared = windows.groupBy("anchor", "print").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).filter("lo < hi").drop("hi")
     later = windows.join(shared, ["anchor", "print"]).filter("least > lo")
     partly = later.groupBy(*key).agg(F.collect_set("offset").alias("offsets"))
@@ -200,7 +264,7 @@ def _spans(stretches: DataFrame) -> DataFrame:
     rows = stretches.select(*key, "doc_id", "text_key", "at", F.size("prints").alias("n")).join(marks, key)
     whole = rows.filter("doc_id > least").select("doc_id", "text_key", "at", F.col("n").cast("long").alias("n"))
     some = rows.filter("doc_id = least").select("doc_id", "text_key", F.explode(F.transform("offsets", lambda o: o + F.col("at"))).alias("at"), F.lit(1).cast("long").alias("n"))
-    return whole.unionByName(some)
+    return whole.unionByName(some), folded
 
 
 def _removed(joined: DataFrame, window: int) -> DataFrame:
@@ -223,9 +287,9 @@ def _removed(joined: DataFrame, window: int) -> DataFrame:
                     lo, hi = w.first[i], w.first[i + 1]
                     own = kept[lo:hi]
                     texts.append(b" ".join(chunk.text(i).split()) if own.all() else b" ".join(x for x, k in zip(chunk.text(i).split(), own.tolist(), strict=True) if k))
-                sums = np.concatenate([[0], np.cumsum(hit)])
+                so_far = np.concatenate([[0], np.cumsum(hit)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(chunk.first, chunk.n), pa.array(w.counts.astype(np.int64)), pa.array((sums[w.first[1:]] - sums[w.first[:-1]]).astype(np.int64)), pa.array([t.decode() for t in texts])],
+                    [batch.column(0).slice(chunk.first, chunk.n), pa.array(w.counts.astype(np.int64)), pa.array((so_far[w.first[1:]] - so_far[w.first[:-1]]).astype(np.int64)), strings(texts)],
                     ["doc_id", "n_words", "n_removed", "kept_text"],
                 )
 
@@ -256,12 +320,14 @@ def deduplicate(docs: DataFrame, batches: int = 3, window: int = WINDOW, gram: i
         part = part.filter(F.col("doc_id") <= hi) if hi is not None else part
         index.add(part)
     holders = materialise(index.holders(), "holders")
-    release(spark)
+    index.close(delete=True)
     keys = ["doc_id", "text_key"]
     stretches = materialise(_windows(known.join(holders, keys).select(*keys, "text", "anchors"), window, gram), "stretches")
-    release(spark)
-    spans = materialise(_spans(stretches).groupBy(*keys).agg(F.collect_list(F.struct("at", "n")).alias("spans")), "spans")
-    release(spark)
+    drop(holders)
+    found, folded = _spans(stretches)
+    # a set, as rows that are repeated bring the same spans again
+    spans = materialise(found.groupBy(*keys).agg(F.collect_set(F.struct("at", "n")).alias("spans")), "spans")
+    drop(stretches, folded)
     joined = docs.join(spans, keys, "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<at:bigint,n:bigint>>")).alias("spans"))
     return _removed(joined, window)
 

@@ -1,49 +1,62 @@
 """Training-order materialisation: token ids in fixed-stride shards, in a keyed random order.
 
-Documents are encoded, cut into sequences of at most STRIDE tokens and numbered
-0 to N - 1. A keyed Feistel network permutes the next even power of two above N;
-walking its cycle until a value below N comes up makes it a permutation of
-0 to N - 1, so each sequence has a global slot, worked out where it stands,
-without a sort of random keys and without collisions. Slots are cut into ranges
-of PER_SHARD; each range is one shard, sorted by slot. Every record is STRIDE
-ids wide (padded with PAD), so slot s is record s % PER_SHARD of shard
-s // PER_SHARD, and a reader can start, stop and resume anywhere by slot.
-
-Numbering needs no global sort: tasks' sequence counts are summed per block of
-documents and a block's offset added to the place inside it.
-
-Shards are Parquet files with one fixed-width binary column, which any cluster
-store takes; `read` gives back ids by slot range, `export` writes raw binary files
-where the output is a mounted file system.
-
-Defined results: null and empty texts have no tokens and no sequence; repeated
-rows have sequences of their own; doc_id may be null; an empty table gives no
-shards.
+1. Packing. Documents are encoded and dealt into blocks by a hash of doc_id and
+   text; in each block, in the order of that hash, their ids stand end to end, each
+   document closed by END, and are cut into records of STRIDE ids. Only a block's last
+   record is filled up (with PAD). The number of blocks follows the number of
+   documents alone, so records and their numbers don't depend on how files are
+   split or how many tasks there are.
+2. Slots. Records are numbered 0 to N - 1: the counts of the blocks (at most
+   MAX_BLOCKS rows) are summed and a block's offset added to the place inside it. A
+   keyed Feistel network permutes the next even power of two above N; walking its
+   cycle until a value below N comes up makes it a permutation of 0 to N - 1, so each
+   record has a global slot, worked out where it stands, without a sort of random
+   keys and without collisions.
+3. Shards. Slots are cut into ranges of PER_SHARD; each range is one raw file,
+   shard-NNNNNNNN.bin, written in the order of slots. Every record is STRIDE
+   little-endian unsigned 16-bit ids, so slot s is at byte 2 * STRIDE * (s % PER_SHARD)
+   of shard s // PER_SHARD, and a reader can start, stop and resume anywhere by slot.
+   A task writes a shard under a name of its own and renames it when it is whole, so
+   one that runs again, or twice, does no harm.
+
+Shards are written through Arrow's file systems, so the folder may be a mounted one
+(file:) or a store that Arrow opens by URI (s3:, gs:, hdfs:).
+
+Defined results: null and empty texts have no ids and are in no record; repeated
+rows are packed as often as they occur (rows that are equal can't be told apart);
+doc_id may be null; an empty table gives no shards; bytes that aren't UTF-8 are read
+as U+FFFD; input columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoplace.llm.bpe import Splitter, Vocabulary
-from chronoplace.llm.shared import fresh_path, materialise, release
-from chronoplace.llm.textnp import _BYTE, BYTE_BASE, chunks, range_hash
+from chronoplace.llm.textnp import chunks, distinct, valid
+from chronoplace.shared import drop, fresh_path, materialise
 
 STRIDE = 1024
 PER_SHARD = 4096
-PAD = 0xFFFF
+#: Fills up a record; closes a document. No token has these ids.
+PAD, END = 0xFFFF, 0xFFFE
+#: Documents in a block, about, and the most blocks there are: beyond, blocks grow.
+PER_BLOCK, MAX_BLOCKS = 4096, 1 << 16
 ROUNDS = 4
 #: Steps of a walk that isn't over after the usual number; the chance that one is longer is nil.
 LONG_WALK = 1 << 12
 #: Distinct pre-tokens that a worker remembers at most; beyond, it starts anew.
-KNOWN = 1 << 19
+KNOWN = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -83,30 +96,28 @@ class Permutation:
         return out.withColumn(name, F.when(F.col(name) < self.n, F.col(name)).otherwise(left))
 
 
-def sequences(docs: DataFrame, path: str, stride: int = STRIDE) -> DataFrame:
-    """doc_id, block, place in the block, seq (number in its document), n_tokens, ids (little-endian unsigned 16-bit)."""
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, order (the hash that blocks go by) and ids (unsigned 16-bit, END last) of every row with ids."""
     splitter, vocabulary = Splitter(), Vocabulary(path)
-    if max(vocabulary.tokens, default=0) >= PAD:
+    if max(vocabulary.tokens, default=0) >= END:
         raise ValueError("ids don't fit into 16 bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        block, place = TaskContext.get().partitionId(), 0
-        piece, known = vocabulary.encoding()._encode_single_piece, {}
+        piece, known, end = vocabulary.encoding()._encode_single_piece, {}, np.array([END], "<u2").tobytes()
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            for chunk in map(valid, chunks(batch.column(2))):
                 starts, ends, counts = splitter.split(chunk)
                 if not len(starts):
                     continue
-                hashes, first, inverse = np.unique(range_hash(_BYTE[chunk.data], starts, ends, BYTE_BASE), return_index=True, return_inverse=True)
+                _, first, _, inverse = distinct(chunk.data, starts, ends)
                 raw, lists = chunk.data.tobytes(), []
                 if len(known) > KNOWN:
                     known = {}
-                for h, s, e in zip(hashes.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True):
-                    got = known.get(h)
+                for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True):
+                    word = raw[s:e]
+                    got = known.get(word)
                     if got is None:
-                        got = known[h] = np.array(piece(raw[s:e]), "<u2").tobytes()
+                        got = known[word] = np.array(piece(word), "<u2").tobytes()
                     lists.append(got)
                 sizes = np.array([len(x) for x in lists]) // 2
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -116,67 +127,154 @@ def sequences(docs: DataFrame, path: str, stride: int = STRIDE) -> DataFrame:
                 at = np.repeat(bounds[inverse] - (run_ends - length), length)
                 ids = flat[at + np.arange(len(at))].tobytes()
                 cut = np.concatenate([[0], run_ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
-                doc_ids = batch.column(0).slice(chunk.first, chunk.n).to_pylist()
-                out = []
-                for i, doc_id in enumerate(doc_ids):
-                    for seq, lo in enumerate(range(cut[i], cut[i + 1], stride)):
-                        hi = min(lo + stride, cut[i + 1])
-                        out.append({"doc_id": doc_id, "block": block, "place": place, "seq": seq, "n_tokens": hi - lo, "ids": ids[2 * lo : 2 * hi]})
-                        place += 1
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("block", pa.int64()), ("place", pa.int64()), ("seq", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())]))
+                rows = [ids[2 * a : 2 * b] + end if a < b else None for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                out = pa.RecordBatch.from_arrays([*(batch.column(i).slice(chunk.first, chunk.n) for i in (0, 1)), pa.array(rows, pa.binary())], ["doc_id", "order", "ids"])
+                yield out.filter(out.column(2).is_valid())
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, block long, place long, seq long, n_tokens long, ids binary")
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, "text").alias("order"), "text").mapInArrow(run, "doc_id long, order long, ids binary")
 
 
-def materialise_order(docs: DataFrame, path: str, key: str = "order", stride: int = STRIDE, per_shard: int = PER_SHARD, out: str | None = None) -> tuple[DataFrame, str]:
-    """Writes the shards; (doc_id, seq, slot, shard, record, n_tokens, ids) of every sequence, read back, and the shards' path."""
-    spark = docs.sparkSession
-    rows = materialise(sequences(docs, path, stride), "sequences")
-    release(spark)
-    counts = rows.groupBy("block").agg(F.count("*").alias("c"))
-    # one row for each task of the scan; the running sum is over those, not over sequences
-    offsets = counts.select(F.col("block").alias("b"), (F.sum("c").over(Window.orderBy("block")) - F.col("c")).alias("from"))
-    n = rows.count()
-    numbered = rows.join(F.broadcast(offsets) if counts.count() <= 100_000 else offsets, F.col("block") == F.col("b")).withColumn("number", F.col("from") + F.col("place"))
-    slotted = Permutation(n, key).slots(numbered, "number").select("doc_id", "seq", "slot", F.floor(F.col("slot") / per_shard).cast("long").alias("shard"), "n_tokens", "ids")
-    n_shards = max(1, -(-n // per_shard))
-    out = out or fresh_path(spark, "shards")
-    ordered = slotted.repartitionByRange(min(n_shards, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))), "shard").sortWithinPartitions("slot")
-    pad = F.rpad(F.col("ids"), 2 * stride, F.lit(bytes([PAD & 0xFF, PAD >> 8])))
-    ordered.withColumn("ids", pad).write.option("compression", "zstd").parquet(out)
-    schema = "doc_id long, seq long, slot long, shard long, n_tokens long, ids binary"
-    return spark.read.schema(schema).parquet(out).withColumn("record", F.col("slot") % per_shard), out
+_RECORD = pa.schema([("block", pa.int32()), ("place", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("n_tokens", pa.int32()), ("packed", pa.binary())])
+
+
+class _Packer:
+    """The records of one block, as its documents come in."""
+
+    def __init__(self, block: int, stride: int) -> None:
+        self.block, self.stride, self.place = block, stride, 0
+        self.open()
+
+    def open(self) -> None:
+        self.parts, self.doc_ids, self.starts, self.n = [], [], [], 0
+
+    def take(self, doc_id: int | None, ids: bytes) -> Iterator[dict]:
+        at = 0
+        while at < len(ids):
+            part = ids[at : at + 2 * (self.stride - self.n)]
+            self.parts.append(part)
+            self.doc_ids.append(doc_id)
+            self.starts.append(self.n)
+            self.n += len(part) // 2
+            at += len(part)
+            if self.n == self.stride:
+                yield self.close()
+
+    def close(self) -> dict:
+        whole = b"".join(self.parts).ljust(2 * self.stride, b"\xff")
+        row = {"block": self.block, "place": self.place, "doc_ids": self.doc_ids, "starts": self.starts, "n_tokens": self.n, "packed": zstandard.compress(whole, 3)}
+        self.place += 1
+        self.open()
+        return row
+
+
+def records(docs: DataFrame, path: str, stride: int = STRIDE) -> DataFrame:
+    """block, place in the block, doc_ids and where each begins in the record, n_tokens, packed (the record, compressed)."""
+    bits = max(1, min(MAX_BLOCKS, -(-docs.count() // PER_BLOCK)) - 1).bit_length()
+    rows = encoded(docs, path).withColumn("block", F.shiftrightunsigned("order", 64 - bits).cast("int"))
+    dealt = rows.repartition(F.col("block")).sortWithinPartitions("block", "order", "doc_id", "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, out = None, []
+        for batch in batches:
+            for doc_id, block, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if packer is None or packer.block != block:
+                    if packer is not None and packer.n:
+                        out.append(packer.close())
+                    packer = _Packer(block, stride)
+                out += packer.take(doc_id, ids)
+                if len(out) >= 1024:
+                    yield pa.RecordBatch.from_pylist(out, _RECORD)
+                    out = []
+        if packer is not None and packer.n:
+            out.append(packer.close())
+        if out:
+            yield pa.RecordBatch.from_pylist(out, _RECORD)
 
+    return dealt.select("doc_id", "block", "ids").mapInArrow(run, "block int, place long, doc_ids array<long>, starts array<int>, n_tokens int, packed binary")
 
-def read(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
-    """Records of slots first to last - 1, in order: the file statistics leave only the shards concerned to be read."""
-    return spark.read.parquet(path).filter((F.col("slot") >= first) & (F.col("slot") < last)).orderBy("slot")
 
+def shard_name(shard: int) -> str:
+    return f"shard-{shard:08d}.bin"
 
-def export(written: DataFrame, folder: str) -> DataFrame:
-    """Writes each shard as raw little-endian ids to folder/shard-N.bin; folder must be a file system that all executors mount.
 
-    A shard is written under a name of its own and renamed when it is whole, so a task that runs again does no harm.
-    """
+def _store(folder: str) -> tuple[object, str]:
+    from pyarrow import fs
 
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-        import uuid
+    return fs.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
 
-        shard, n = key[0].as_py(), 0
-        temp = os.path.join(folder, f".shard-{shard}-{uuid.uuid4().hex}")
-        records = []
+
+def _write_shards(rows: DataFrame, folder: str, stride: int, per_shard: int) -> DataFrame:
+    """Writes the shards that a task's sorted rows make up; a row for each record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(folder)
+        store.create_dir(root, recursive=True)
+        shard, temp, out = None, "", None
+
+        def finish() -> None:
+            out.close()
+            store.move(temp, f"{root}/{shard_name(shard)}")
+
+        for batch in batches:
+            crcs = []
+            for slot, blob in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if slot // per_shard != shard:
+                    if out is not None:
+                        finish()
+                    shard, temp = slot // per_shard, f"{root}/.writing-{uuid.uuid4().hex}"
+                    out = store.open_output_stream(temp)
+                whole = zstandard.decompress(blob)
+                out.write(whole)
+                crcs.append(zlib.crc32(whole))
+            slots = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(slots // per_shard), pa.array(slots % per_shard), *(batch.column(i) for i in (1, 2, 3)), pa.array(crcs, pa.int64())],
+                ["slot", "shard", "record", "doc_ids", "starts", "n_tokens", "record_crc32"],
+            )
+        if out is not None:
+            finish()
+
+    return rows.mapInArrow(run, "slot long, shard long, record long, doc_ids array<long>, starts array<int>, n_tokens int, record_crc32 long")
+
+
+def materialise_order(docs: DataFrame, path: str, key: str = "order", stride: int = STRIDE, per_shard: int = PER_SHARD, out: str | None = None) -> tuple[DataFrame, str]:
+    """Writes the shards; a row for each record (slot, shard, record, doc_ids, starts, n_tokens, record_crc32), and the shards' folder."""
+    spark = docs.sparkSession
+    packed = materialise(records(docs, path, stride), "records", "none")
+    counts = packed.groupBy("block").agg(F.count("*").alias("c"))
+    offsets = counts.select("block", (F.sum("c").over(Window.orderBy("block")) - F.col("c")).alias("from"))  # at most MAX_BLOCKS rows
+    n = packed.count()
+    numbered = packed.join(F.broadcast(offsets), "block").withColumn("number", F.col("from") + F.col("place"))
+    slotted = Permutation(n, key).slots(numbered, "number").select("slot", "doc_ids", "starts", "n_tokens", "packed")
+    n_shards = max(1, -(-n // per_shard))
+    parts = min(n_shards, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # whole shards to a task, neighbours together
+    dealt = slotted.repartitionById(parts, (F.floor(F.col("slot") / per_shard) * parts / n_shards).cast("int"))
+    out = out or fresh_path(spark, "shards")
+    written = materialise(_write_shards(dealt.sortWithinPartitions("slot"), out, stride, per_shard), "shard-rows")
+    drop(packed)
+    return written, out
+
+
+def read(spark: SparkSession, path: str, first: int, last: int, stride: int = STRIDE, per_shard: int = PER_SHARD) -> DataFrame:
+    """slot and ids (unsigned 16-bit) of slots first to last - 1: each task reads one stretch of one shard from where it begins."""
+    shards = range(first // per_shard, -(-last // per_shard))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(path)
         for batch in batches:
-            records += zip(batch.column("record").to_pylist(), batch.column("ids").to_pylist(), strict=True)
-        with open(temp, "wb") as file:
-            for _, ids in sorted(records):
-                n += file.write(ids)
-        os.replace(temp, os.path.join(folder, f"shard-{shard}.bin"))
-        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([n])], ["shard", "bytes"])
+            for shard in batch.column(0).to_pylist():
+                at, to = max(first, shard * per_shard), min(last, (shard + 1) * per_shard)
+                with store.open_input_file(f"{root}/{shard_name(shard)}") as file:
+                    file.seek(2 * stride * (at - shard * per_shard))
+                    while at < to and (whole := file.read(2 * stride)):
+                        yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([whole], pa.binary())], ["slot", "ids"])
+                        at += 1
 
-    return written.groupBy("shard").applyInArrow(run, "shard long, bytes long")
+    return spark.range(shards.start, shards.stop, 1, max(1, min(len(shards), 10_000))).mapInArrow(run, "slot long, ids binary")
 
 
 def digest(written: DataFrame) -> DataFrame:
-    """Where each sequence stands, and the CRC of its record."""
-    return written.select("doc_id", "seq", "slot", "shard", "record", "n_tokens", F.crc32("ids").alias("record_crc32"))
+    """Where each record stands, the documents in it, and the CRC of its bytes."""
+    return written.select("slot", "shard", "record", "doc_ids", "starts", "n_tokens", "record_crc32")

@@ -8,14 +8,17 @@ classes (chi-squared) are kept, at most FEATURES of them, and logistic
 regression is fitted to them on the driver.
 
 Training takes at most TRAIN_ROWS labelled rows, those with the least hash of
-doc_id, and never rows that are held out. The counts per n-gram are fixed-size
+doc_id, and never rows that are held out; at most FEATURES entries of two bytes
+for each come to the driver, 330 MB if every text had all of them. The counts per n-gram are fixed-size
 arrays (2 x 2**BITS), summed from the tasks' own sums. Scoring is one pass over
 whole texts without a shuffle; the model (weights of 2**BITS features, almost
 all zero) is a constant size.
 
 Defined results: null and empty texts have no n-grams and score by the bias;
 without labels, or with labels of one class, all texts get the same score (0
-without a toxic one, 1 without another); repeated rows give repeated results.
+without a toxic one, 1 without another); repeated rows give repeated results (in
+training, of rows that repeat a labelled id the least text counts); bytes that
+aren't UTF-8 are read as U+FFFD; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoplace.llm.quality import labelled_sample
-from chronoplace.llm.textnp import Chunk, chunks
+from chronoplace.llm.quality import labelled_sample, labelled_texts
+from chronoplace.llm.textnp import Chunk, chunks, valid
 
 BITS = 18
 SIZES = (3, 4, 5)
@@ -103,7 +106,7 @@ def _class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         seen, texts = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
         for batch in batches:
             label = batch.column(0).to_numpy(zero_copy_only=False)
-            for chunk in chunks(batch.column(1)):
+            for chunk in map(valid, chunks(batch.column(1))):
                 mine = label[chunk.first : chunk.first + chunk.n]
                 texts += np.bincount(mine, minlength=2)
                 text, bucket = _present(chunk)
@@ -126,26 +129,37 @@ def _class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([parts[0]["n0"], parts[0]["n1"]], float), seen.astype(float)
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, width: int, ridge: float = 1.0, steps: int = 300, rate: float = 0.1) -> tuple[float, np.ndarray]:
-    """Logistic regression with an L2 penalty, by full-batch Adam; deterministic."""
+def fit(counts: np.ndarray, cols: np.ndarray, ratio: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 300, rate: float = 0.1, block: int = 1 << 20) -> tuple[float, np.ndarray]:
+    """Logistic regression with an L2 penalty, by full-batch Adam; deterministic.
+
+    Row i has the features of counts[i] entries of cols, each with its feature's ratio as value. Rows are gone
+    through in blocks of about `block` entries, so working memory is the entries themselves (two bytes each).
+    """
+    width, ends = len(ratio), np.concatenate([[0], np.cumsum(counts)])
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] + block, block), "left").clip(0, len(y)))
+    cuts = np.unique(np.concatenate([[0], cuts, [len(y)]]))
     w, bias = np.zeros(width), float(np.log(max(y.mean(), 1e-6) / max(1 - y.mean(), 1e-6)))
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(rows, w[cols] * values, len(y)), -30, 30)))
-        miss = p - y
-        g = (np.bincount(cols, miss[rows] * values, width) + ridge * w) / len(y)
-        gb = miss.mean()
+        g, gb, scaled = ridge * w, 0.0, w * ratio
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            mine = cols[ends[a] : ends[b]]
+            row = np.repeat(np.arange(b - a), counts[a:b])
+            miss = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, scaled[mine], b - a), -30, 30))) - y[a:b]
+            g = g + np.bincount(mine, miss[row], width) * ratio
+            gb += miss.sum()
+        g, gb = g / len(y), gb / len(y)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        a, b = 1 - 0.9**t, 1 - 0.999**t
-        w -= rate * (m / a) / (np.sqrt(v / b) + 1e-8)
-        bias -= rate * (mb / a) / (np.sqrt(vb / b) + 1e-8)
+        c, d = 1 - 0.9**t, 1 - 0.999**t
+        w -= rate * (m / c) / (np.sqrt(v / d) + 1e-8)
+        bias -= rate * (mb / c) / (np.sqrt(vb / d) + 1e-8)
     return bias, w
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     chosen = labelled_sample(labels, "toxic", most, ~held_out())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
+    rows = labelled_texts(docs, chosen)
     n, seen = _class_counts(rows)
     if not n[0] or not n[1]:
         return Model(40.0 if n[1] else -40.0, np.zeros(1 << BITS))
@@ -163,16 +177,15 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            for chunk in map(valid, chunks(batch.column(1))):
                 text, bucket = _present(chunk, wanted)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=chunk.n))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))], ["label", "buckets"])
 
     got = rows.mapInArrow(run, "label int, buckets array<int>").toArrow()
     lists, y = got["buckets"].combine_chunks(), got["label"].to_numpy().astype(float)
-    counts = np.asarray(lists.value_lengths())
-    cols = np.searchsorted(top, np.asarray(lists.flatten()))
-    bias, w = fit(np.repeat(np.arange(len(y)), counts), cols, ratio[top][cols], y, len(top))
+    cols = np.searchsorted(top, np.asarray(lists.flatten())).astype(np.uint16)
+    bias, w = fit(np.asarray(lists.value_lengths()).astype(np.int64), cols, ratio[top], y)
     weights = np.zeros(1 << BITS)
     weights[top] = w * ratio[top]
     return Model(bias, weights)
@@ -183,7 +196,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(2)):
+            for chunk in map(valid, chunks(batch.column(2))):
                 rate = model.score(chunk)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(chunk.first, chunk.n) for i in (0, 1)), pa.array(rate), pa.array((rate >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 

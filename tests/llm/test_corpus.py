@@ -118,13 +118,45 @@ def test_pre_tokens():
 
 
 def test_token_output(docs, rows, empty, spark):
+    """Every byte of the shards against tiktoken's ids, packed by the stated rules."""
+    with open(RANKS, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     written, path = token_output.materialise_order(docs, RANKS, stride=16, per_shard=8)
-    got = written.collect()
-    assert sorted(r.slot for r in got) == list(range(len(got)))
-    assert all(len(r.ids) == 32 and r.shard == r.slot // 8 and r.record == r.slot % 8 for r in got)
-    expected = bpe.encode(docs, RANKS).agg(F.sum("n_tokens")).first()[0]
-    assert sum(r.n_tokens for r in got) == expected
-    assert [r.slot for r in token_output.read(spark, path, 5, 9).collect()] == [5, 6, 7, 8]
+    got = sorted(written.collect(), key=lambda r: r.slot)
+    assert [r.slot for r in got] == list(range(len(got)))
+    assert all(r.shard == r.slot // 8 and r.record == r.slot % 8 for r in got)
+    whole = b"".join(open(f"{path.removeprefix('file://')}/{token_output.shard_name(k)}", "rb").read() for k in range(got[-1].shard + 1))
+    records = np.frombuffer(whole, "<u2").reshape(-1, 16)
+    assert len(records) == len(got) and [zlib.crc32(x.tobytes()) for x in records] == [r.record_crc32 for r in got]
+    # in the order of numbers, the records are the documents' ids end to end
+    numbers = spark.range(len(got)).withColumnRenamed("id", "x")
+    number = {r.slot: r.x for r in token_output.Permutation(len(got)).slots(numbers, "x").collect()}
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("order"), "text").collect()
+    expected = []
+    for block in range(2):
+        ids, of = [], []
+        for r in sorted((r for r in keyed if (r.order < 0) == (block == 1)), key=lambda r: (r.order, r.doc_id is not None, r.doc_id or 0)):
+            if r.text:
+                mine = [*enc.encode_ordinary(r.text), token_output.END]
+                of += [r.doc_id] * len(mine)
+                ids += mine
+        for at in range(0, len(ids), 16):
+            part = ids[at : at + 16]
+            expected.append((part + [token_output.PAD] * (16 - len(part)), len(part), of[at : at + 16]))
+    assert len(expected) == len(got)
+    for r in got:
+        ids, n, of = expected[number[r.slot]]
+        assert records[r.slot].tolist() == ids and r.n_tokens == n
+        ends = [*r.starts[1:], n]
+        assert [d for d, a, b in zip(r.doc_ids, r.starts, ends, strict=True) for _ in range(b - a)] == of
+    for a, b in ((5, 9), (0, len(got)), (len(got) - 3, len(got)), (8, 8)):
+        part = token_output.read(spark, path, a, b, 16, 8).collect()
+        assert sorted((r.slot, bytes(r.ids)) for r in part) == [(i, records[i].tobytes()) for i in range(a, b)]
+    # neither how the table is split nor the number of tasks changes a byte
+    again, other = token_output.materialise_order(docs.repartition(7), RANKS, stride=16, per_shard=8)
+    assert sorted(again.collect(), key=lambda r: r.slot) == got
+    assert b"".join(open(f"{other.removeprefix('file://')}/{token_output.shard_name(k)}", "rb").read() for k in range(got[-1].shard + 1)) == whole
     assert token_output.materialise_order(empty, RANKS)[0].count() == 0
 
 

@@ -8,7 +8,6 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
-from chronoplace.llm import token_output
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -43,16 +42,3 @@ def test_pipeline_rows(spark, tmp_path):
         ids = enc.encode_ordinary(t)
         expected.append((i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(t.encode())))
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(expected)
-
-
-def test_records_hold_the_ids_of_their_documents(spark):
-    texts = {1: prose("a"), 2: "one two", 3: None, 4: "", 5: "Été 中文 " * 30, 6: "one two"}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    enc, expected = encoding(), []
-    for i, t in texts.items():
-        ids = enc.encode_ordinary(t or "")
-        for seq, lo in enumerate(range(0, len(ids), 16)):
-            part = ids[lo : lo + 16]
-            expected.append((i, seq, len(part), np.array(part + [token_output.PAD] * (16 - len(part)), "<u2").tobytes()))
-    written, _ = token_output.materialise_order(docs, RANKS, stride=16, per_shard=8)
-    assert sorted((r.doc_id, r.seq, r.n_tokens, bytes(r.ids)) for r in written.collect()) == sorted(expected)
