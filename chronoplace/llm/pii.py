@@ -168,11 +168,13 @@ def detect(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """Replaces every span of `text` by its kind in angle brackets; a null stays null. Adds no columns."""
-    names = df.columns
-    found = detect(df, text)
+    """Replaces every span of `text` by its kind in angle brackets; a null stays null. All other columns, whatever their
+    names, stay as they are."""
+    # the row is set aside, so that no column of the input meets one of detect's
+    found = detect(df.select(F.struct("*").alias("__row"), F.col(f"`{text}`").alias("text")))
     mark = lambda kind: F.concat(F.lit("<"), F.upper(kind), F.lit(">"))
-    return found.withColumn(text, F.when(F.col(text).isNotNull(), S.replace(F.col(text), F.col("spans"), mark))).select(*names)
+    clean = F.when(F.col("text").isNotNull(), S.replace(F.col("text"), F.col("spans"), mark))
+    return found.select(*((clean if c == text else F.col("__row").getField(c)).alias(c) for c in df.columns))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoplace.llm import bpe, decontaminate, ngram_join, pii, quality, secrets, sharding, substring_dedup, token_output, toxicity
+from chronoplace.llm import bpe, decontaminate, ngram_join, pii, quality, secrets, sharding, sql, substring_dedup, token_output, toxicity
 
 #: Rank file of the tokenizer; a parameter, never copied.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -65,25 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL}
-
-
-OP1_SQL = r"""
-WITH words AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
-), places AS (
-  SELECT doc_id, w, unnest(range(0, greatest(len(w) - 49, 0))) AS pos FROM words
-), windows AS (
-  SELECT doc_id, pos, md5(array_to_string(list_slice(w, pos + 1, pos + 50), ' ')) AS h FROM places
-), firsts AS (
-  SELECT h, min(doc_id) AS first FROM windows GROUP BY h
-), hits AS (
-  SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS word FROM windows JOIN firsts USING (h) WHERE first < doc_id
-), removed AS (
-  SELECT doc_id, list(word) AS gone FROM hits GROUP BY doc_id
-)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
-  sha256(array_to_string(list_transform(list_filter(list_transform(w, lambda x, i : {'x': x, 'i': i}),
-    lambda s : NOT coalesce(list_contains(gone, s.i - 1), false)), lambda s : s.x), ' ')) AS kept_sha256
-FROM words LEFT JOIN removed USING (doc_id)
-"""
+    return {"op1_substring_dedup": sql.OP1, "op5_decontamination": sql.OP5, "op6_sharding": sql.OP6, "op7_ngram_jaccard": sql.OP7}

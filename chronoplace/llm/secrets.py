@@ -1,6 +1,6 @@
 """Secrets: fixed patterns, plus a randomness test battery for strings without a known shape.
 
-Native: DataFrame functions only. One pass over the texts, no shuffle.
+Native: DataFrame functions only. Two passes over the texts; what is shuffled are sums.
 
 Base kinds: assign (a credential word, then a value of 6 or more characters),
 access (AKIA keys of 20 or more) and hex (24 or more digits). The method adds
@@ -19,11 +19,19 @@ The smallest of the three p-values, times three (Bonferroni), is p. Under
 a = A_LENGTH / length: the longer a structured string, the surer the tests
 reject it, so a long string that passes is stronger evidence than a short one.
 With PRIOR for random strings this gives each candidate's local false-discovery
-rate. In each document, candidates are taken in rising order of that rate while
-the mean rate of those taken is at most FDR.
+rate. Discoveries are controlled over the whole table: candidates are taken in rising
+order of that rate, in steps of 1 / BINS, while the mean rate of all that are taken is
+at most FDR, and never one that is likelier structured than random. So there are two
+passes: one sums rates by step (at most BINS + 1 rows reach the driver) and finds the
+cut, the second one takes the spans.
+
+A known limit: letters that run through the alphabet look random in the order by
+frequency that letters are tested in.
 
 Defined results: a null or empty text has no spans; repeated rows give repeated
-results; columns of the input stay, and clashing output names are replaced.
+results and count in the control as often as they occur; candidates with equal rates
+are taken together or not at all; a table without candidates has no cut and no random
+spans; columns of the input stay, and clashing output names are replaced.
 """
 
 from __future__ import annotations
@@ -35,7 +43,8 @@ from chronoplace.llm import spans as S
 
 BASE_KINDS = ("assign", "access", "hex")
 LEAST_RANDOM = 24
-A_LENGTH, PRIOR, FDR = 1.0, 0.5, 0.2
+A_LENGTH, PRIOR, FDR = 1.0, 0.5, 0.1
+BINS, MOST = 1000, 0.5
 
 # The patterns of the kinds. hex and access carry their least length,
 # which selects the same maximal runs; assign is filtered after the match.
@@ -116,35 +125,48 @@ def local_fdr(value: Column) -> Column:
     return text / (text + PRIOR)
 
 
-def _discoveries(candidates: Column) -> Column:
-    """Of (rate, span) pairs, the largest set of least rates whose mean is at most FDR."""
-    ranked = F.array_sort(candidates)
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), S.nothing().alias("spans"))
-
-    def step(acc: Column, c: Column) -> Column:
-        sum_ = acc["sum"] + c["rate"]
-        taken = sum_ <= FDR * (acc["n"] + 1)
-        return F.struct(sum_.alias("sum"), (acc["n"] + 1).alias("n"), F.when(taken, F.concat(acc["spans"], F.array(c["span"])).cast(S.SPAN)).otherwise(acc["spans"]).alias("spans"))
-
-    return F.aggregate(ranked, start, step, lambda acc: acc["spans"])
-
-
-def detect(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds base_spans and spans, both in order."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+def _base(whole: Column) -> Column:
     always = lambda v: F.lit(True)
     assigned = lambda v: F.length(F.regexp_extract(v, _ASSIGNED, 1)) >= 6
-    base = [
-        S.find(whole, PATTERNS["assign"], "assign", 0, assigned, whole.rlike("[:=]")),
-        S.find(whole, PATTERNS["access"], "access", 1, always, whole.contains("AKIA")),
-        S.find(whole, PATTERNS["hex"], "hex", 2, always),
-    ]
-    long_run = whole.rlike(PATTERNS["random"])
-    out = df.withColumn("base_spans", S.in_order(F.concat(*base)))
-    out = out.withColumn("__runs", S.find(whole, PATTERNS["random"], "random", 3, always, long_run))
-    free = F.filter("__runs", lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return S.in_order(
+        F.concat(
+            S.find(whole, PATTERNS["assign"], "assign", 0, assigned, whole.rlike("[:=]")),
+            S.find(whole, PATTERNS["access"], "access", 1, always, whole.contains("AKIA")),
+            S.find(whole, PATTERNS["hex"], "hex", 2, always),
+        )
+    )
+
+
+def _rated(whole: Column, base: Column) -> Column:
+    """(step, rate, span) of each candidate: a run that no base span touches."""
+    runs = S.find(whole, PATTERNS["random"], "random", 3, lambda v: F.lit(True), whole.rlike(PATTERNS["random"]))
+    free = F.filter(runs, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     rated = F.transform(free, lambda s: F.struct(local_fdr(s["value"]).alias("rate"), s.alias("span")))
-    return out.withColumn("spans", S.in_order(F.concat("base_spans", _discoveries(rated)))).drop("__runs")
+    return F.transform(rated, lambda r: F.struct(F.ceil(r["rate"] * BINS).cast("int").alias("step"), r["rate"].alias("rate"), r["span"].alias("span")))
+
+
+def control(df: DataFrame, text: str = "text") -> int:
+    """The last step that is taken; -1 if none is."""
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    # texts without a run of a candidate's length end here
+    rows = df.select(whole.alias("whole")).filter(F.col("whole").rlike(PATTERNS["random"])).withColumn("base", _base(F.col("whole")))
+    steps = rows.select(F.explode(_rated(F.col("whole"), F.col("base"))).alias("r")).groupBy("r.step").agg(F.count("*").alias("n"), F.sum("r.rate").alias("sum"))
+    taken, n, total = -1, 0, 0.0
+    for r in sorted(steps.filter(F.col("step") <= int(MOST * BINS)).collect(), key=lambda r: r["step"]):
+        n, total = n + r["n"], total + r["sum"]
+        if total > FDR * n:
+            break
+        taken = r["step"]
+    return taken
+
+
+def detect(df: DataFrame, text: str = "text", cut: int | None = None) -> DataFrame:
+    """Adds base_spans and spans, both in order. `cut` is what `control` found for the table; without one it is found here."""
+    cut = control(df, text) if cut is None else cut
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    out = df.withColumn("base_spans", _base(whole)).withColumn("__rated", _rated(whole, F.col("base_spans")))
+    taken = F.transform(F.filter("__rated", lambda r: r["step"] <= cut), lambda r: r["span"])
+    return out.withColumn("spans", S.in_order(F.concat("base_spans", taken))).drop("__rated")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -253,16 +253,6 @@ def test_sharding(docs, rows, empty):
     assert sharding.place(empty).count() == 0
 
 
-def test_tree_moves_keys_only_where_weights_change(spark):
-    keys = spark.range(3000).withColumnRenamed("id", "doc_id")
-    shards = [sharding.Shard(f"r{i // 4}", f"k{i // 2}", i) for i in range(8)]
-    heavier = [sharding.Shard(s.region, s.rack, s.index, 2.0 if s.index == 5 else 1.0) for s in shards]
-    both = sharding.assign(sharding.assign(keys, shards), heavier, name="after").collect()
-    assert {r.after for r in both if r.after != r.shard} == {5}
-    share = sum(r.after == 5 for r in both) / 3000
-    assert 0.18 < share < 0.27
-
-
 def shingles(t):
     w = SPACED.findall(lower(t))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
