@@ -12,8 +12,9 @@ by sizes first, and what is left is verified on whole sets.
    that both hold. Only these enter the matrix, rare ones first, so passages
    that many documents share stay out. Columns with one node are dropped.
 3. Contraction. In each column every node is paired with the column's central
-   node; each node's most frequent partner is verified. Groups of near copies collapse
-   to few components in a pair per node, not in all pairs.
+   node; each node's most frequent partner is verified, if what they share of the
+   matrix leaves the bound open. Groups of near copies collapse to few components in a
+   pair per node, not in all pairs.
 4. Product. In columns that still hold several components, blocks (component by
    component) are multiplied: overlap counts are summed for each pair of nodes of
    different components, and a pair is discarded when its count plus what may
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoplace.llm.components import components
@@ -50,6 +51,8 @@ SKETCH = 22
 SLICES = 64
 #: A column is dealt out at once, without asking whether it is shared, from this many times the mean count of a cell.
 HOT = 64
+#: Rows of a key list that may be broadcast (8 MB at most); longer ones are joined by a shuffle.
+FEW = 200_000
 # 100 * overlap >= 75 * union, as overlap * 7 >= 3 * (n_a + n_b)
 SHARE, PAIR = (75, 100), (7, 3)
 
@@ -217,17 +220,39 @@ def _partners(entries: DataFrame) -> DataFrame:
     A column's central node is the one with the largest share of its own first shingles in shared columns: of a
     group of near copies, the one with the fewest changes of its own, to which most of the others are near.
     """
-    take = F.col("n") - F.ceil(F.col("n") * SHARE[0] / SHARE[1]) + 1
     shares = entries.groupBy("node").agg(F.count("*").alias("c"), F.max("n").alias("n"))
     # the share in thousandths above, the node's low bits below, so that ties have one order
-    rank = F.shiftleft(F.floor(F.col("c") * 1000 / take), 50).bitwiseOR(F.col("node").bitwiseAND(F.lit((1 << 50) - 1)))
-    ranked = entries.select("token", "node").join(shares.select("node", rank.alias("rank")), "node")
-    hubs = ranked.groupBy("token").agg(F.max_by("node", "rank").alias("hub"))
-    met = entries.join(hubs, "token").filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("c"))
-    best = met.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("best"))
+    rank = F.shiftleft(F.floor(F.col("c") * 1000 / _taken(F.col("n"))), 50).bitwiseOR(F.col("node").bitwiseAND(F.lit((1 << 50) - 1)))
+    ranked = entries.select("token", "node", "n").join(shares.select("node", rank.alias("rank")), "node")
+    hubs = ranked.groupBy("token").agg(F.max_by(F.struct("node", "n"), "rank").alias("hub")).select("token", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m"))
+    met = entries.join(hubs, "token").filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("m").alias("m"))
+    # Of two sets' first shingles, those of the one whose last comes first in the order are either shared or missing from
+    # the other: so many at most are left to share. A link that is missed here is met again in the product.
+    most = F.greatest(F.col("n") - _taken(F.col("n")), F.col("m") - _taken(F.col("m"))) + F.col("c")
+    best = met.filter(PAIR[0] * most >= PAIR[1] * (F.col("n") + F.col("m"))).groupBy("node").agg(F.max(F.struct("c", "hub")).alias("best"))
     return best.select(F.col("best.hub").alias("a"), F.col("node").alias("b"))
 
 
+def _taken(n: Column) -> Column:
+    """How many of a set's n shingles enter the matrix."""
+    return n - F.ceil(n * SHARE[0] / SHARE[1]) + 1
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is known to be small; else Spark joins it by shuffling."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def _texts(known: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node and text of the nodes in pairs: of equal sets' documents, the one with the least doc_id."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    who = sets.filter("doc_id is not null and node is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("who"))
+    keys = materialise(who.select("node", "who.doc_id", "who.text_key"), "keys")
+    texts = materialise(known.join(_few(keys), ["doc_id", "text_key"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    drop(keys)
+    return texts
+
+
 def _product(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs, the working table that they read). Pairs (a, b) of nodes of different components that may still reach the bound. entries: token, node, n, pos, component."""
     mixed = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("token")
@@ -270,22 +295,23 @@ def join(docs: DataFrame) -> DataFrame:
         sets = sets.withColumn("node", F.when(F.array_contains(known_as, F.struct("node", "check")), F.col("check")).otherwise(F.col("node")))
     known = docs.filter("doc_id is not null and text is not null")
     entries = materialise(_shared(_columns(known, cells, hot, strays)), "columns")
-    holders = entries.select("node").distinct()
-    who = sets.filter("doc_id is not null and node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("who"))
-    keys = who.join(holders, "node", "left_semi").select("node", "who.doc_id", "who.text_key")
-    texts = materialise(known.join(keys, ["doc_id", "text_key"]).select("node", "text").dropDuplicates(["node"]), "texts")
-    near = materialise(_verify(_partners(entries), texts), "links")
+    pairs = materialise(_partners(entries), "pairs")
+    texts = _texts(known, sets, pairs)
+    near = materialise(_verify(pairs, texts), "links")
+    drop(pairs, texts)
     group = components(near)
     placed = entries.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
     pairs, mixed = _product(placed)
     pairs = materialise(pairs, "pairs")
     drop(entries, mixed)
+    texts = _texts(known, sets, pairs)
     links = materialise(near.unionByName(_verify(pairs, texts)), "links")
     drop(near, pairs, texts)
     group = components(links)
     drop(links)
     # rows that share a doc_id tie their components together
-    placed = sets.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = materialise(sets.join(group, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    drop(rows)
     return _least(placed)
 
 
@@ -293,7 +319,6 @@ def _least(placed: DataFrame) -> DataFrame:
     """The least doc_id of each component; several components of one doc_id are one."""
     own = placed.filter("doc_id is not null and component is not null")
     twice = own.groupBy("doc_id").agg(F.min("component").alias("b"), F.max("component").alias("hi")).filter("b != hi")
-    placed = materialise(placed, "placed")
     if not twice.isEmpty():
         ties = own.join(twice.select("doc_id", "b"), "doc_id").filter("component != b").select(F.col("component").alias("a"), "b")
         joined = components(ties).select(F.col("node").alias("component"), F.col("component").alias("whole"))
@@ -309,10 +334,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of rows that repeat a doc_id one stays: the longest text, and the least of those.
     """
     found = materialise(join(docs), "components")
-    keepers = found.filter("doc_id = component_id").select("doc_id").distinct()
     twice = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1")
-    kept = docs.join(keepers, "doc_id", "left_semi")
+    kept = docs.join(_few(found.filter("doc_id != component_id").select("doc_id").distinct()), "doc_id", "left_anti")
     if not twice.isEmpty():
         by = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), "text")
-        kept = kept.withColumn("__row", F.row_number().over(by)).filter("__row = 1").drop("__row")
-    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+        marked = kept.filter("doc_id is not null").withColumn("__row", F.row_number().over(by)).filter("__row = 1").drop("__row")
+        kept = marked.unionByName(kept.filter("doc_id is null"))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
