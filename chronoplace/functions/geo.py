@@ -56,9 +56,9 @@ def radius_join(queries: DataFrame, df: DataFrame, radius: float, key: str = "qu
     return near.filter(F.col("distance_km") <= radius).drop("__r", "__c")
 
 
-def proximity(distance: Column, radius: float) -> Column:
+def proximity(distance: Column, radius: float, weight: float = 0.5) -> Column:
     """GEO-2."""
-    return F.coalesce(F.greatest(F.lit(0.0), 0.5 * (1 - distance / max(radius, 1.0))), F.lit(0.0))
+    return F.coalesce(F.greatest(F.lit(0.0), weight * (1 - distance / max(radius, 1.0))), F.lit(0.0))
 
 
 def clusters(df: DataFrame, degrees: float) -> DataFrame:

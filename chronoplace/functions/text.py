@@ -42,6 +42,20 @@ HISTORY = "(?i)(?:history|historical|medieval|revolution|war|military|political|
 EDGE = "[ _(),-]"
 
 
+# White space as a Unicode strip takes it: separators, and the control characters that count as space.
+_BLANK = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+
+
+def strip(value: Column) -> Column:
+    """Without white space, of any script, at either end."""
+    return F.regexp_replace(value, f"^{_BLANK}+|{_BLANK}+$", "")
+
+
+def quoted(term: str) -> str:
+    """A term for a pattern, taken literally whatever it holds."""
+    return r"\Q" + term.replace(r"\E", r"\E\\E\Q") + r"\E"
+
+
 @F.pandas_udf(StringType())
 def html_unescape(values: pd.Series) -> pd.Series:
     """Spark has no builtin for HTML entities."""
@@ -53,26 +67,39 @@ def html_unescape(values: pd.Series) -> pd.Series:
 def clean_text(value: Column) -> Column:
     """TXT-2: readable plain text; null gives the empty text."""
     text = reduce(lambda t, rule: F.regexp_replace(t, *rule), CLEANUP, F.coalesce(value, F.lit("")))
-    text = F.regexp_replace(html_unescape(text), r"\n{3,}", "\n\n")
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return strip(F.regexp_replace(html_unescape(text), r"\n{3,}", "\n\n"))
 
 
 def article_lead(first: Column, full: Column) -> Column:
     """TXT-3: the cleaned lead, or the first block of the cleaned text."""
-    block = F.regexp_replace(F.split(clean_text(full), "\n\n", 2)[0], r"^\s+|\s+$", "")
+    block = strip(F.split(clean_text(full), "\n\n", 2)[0])
     return F.coalesce(F.nullif(clean_text(first), F.lit("")), block)
 
 
-def paragraphs(value: Column, least: int = 50, depth: int = 6) -> Column:
-    """TXT-1: markup stripped (templates and files from the inside out, `depth` levels), lines of more than `least` characters."""
+def nesting(value: Column) -> Column:
+    """How deep double braces and brackets stand within each other at most."""
+    marks = F.regexp_extract_all(value, F.lit(r"\{\{|\}\}|\[\[|\]\]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, mark: Column) -> Column:
+        now = F.greatest(F.lit(0), acc["now"] + F.when(mark.isin("{{", "[["), 1).otherwise(-1))
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(marks, start, step, lambda acc: acc["most"])
+
+
+def paragraphs(value: Column, least: int = 50) -> Column:
+    """TXT-1: markup stripped (templates and files from the inside out, as deep as they stand), lines of more than `least` characters."""
     text = F.regexp_replace(F.coalesce(value, F.lit("")), r"(?is)<!--.*?-->|<ref\b[^>]*/\s*>|<ref\b[^>]*>.*?</ref\s*>", "")
-    for _ in range(depth):
-        text = F.regexp_replace(text, r"\{\{[^{}]*\}\}", "")
-        text = F.regexp_replace(text, r"(?i)\[\[(?:file|image):(?:[^\[\]]|\[\[[^\[\]]*\]\])*\]\]", "")
+
+    def inner(t: Column, _: Column) -> Column:
+        t = F.regexp_replace(t, r"\{\{[^{}]*\}\}", "")
+        return F.regexp_replace(t, r"(?i)\[\[(?:file|image):(?:[^\[\]]|\[\[[^\[\]]*\]\])*\]\]", "")
+
+    text = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), nesting(text))), text, inner)
     for pattern, to in (*CLEANUP[7:11], (r"<[^>]+>", "")):
         text = F.regexp_replace(text, pattern, to)
-    lines = F.transform(F.split(text, "\n"), lambda line: F.regexp_replace(line, r"^\s+|\s+$", ""))
-    return F.filter(lines, lambda line: F.length(line) > least)
+    return F.filter(F.transform(F.split(text, "\n"), strip), lambda line: F.length(line) > least)
 
 
 def reader_paragraphs(full: Column, lead: Column) -> Column:
@@ -100,9 +127,23 @@ def normalize_alias(values: pd.Series) -> pd.Series:
     return values.map(fold)
 
 
+def _folds() -> tuple[str, str, list[tuple[str, str]]]:
+    """What case folding changes beyond lower case: letters and what they become, and those that become several."""
+    pairs = [(c, c.casefold()) for c in map(chr, range(0x80, 0x10000)) if not 0xD800 <= ord(c) < 0xE000 and c == c.lower() != c.casefold()]
+    return "".join(a for a, b in pairs if len(b) == 1), "".join(b for _, b in pairs if len(b) == 1), [(a, b) for a, b in pairs if len(b) > 1]
+
+
+def fold_case(value: Column) -> Column:
+    """Case folding. Few texts have a letter that folds to several: the others skip those rules."""
+    one, to, several = _folds()
+    low = F.translate(F.lower(value), one, to)
+    full = reduce(lambda v, rule: F.replace(v, F.lit(rule[0]), F.lit(rule[1])), several, low)
+    return F.when(low.rlike("[" + "".join(a for a, _ in several) + "]"), full).otherwise(low)
+
+
 def title_key(value: Column) -> Column:
-    """TXT-6, with lower() for case folding."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(value, "_", " ")), r"\s+", " "))
+    """TXT-6."""
+    return F.trim(F.regexp_replace(fold_case(F.translate(value, "_", " ")), f"{_BLANK}+", " "))
 
 
 def canonical_query() -> Column:
@@ -154,7 +195,7 @@ def parse_place(place: str) -> list[str]:
 
 
 def _hit(value: Column, term: str) -> Column:
-    return value.rlike(rf"(?i)(?:^|{EDGE})\Q{term}\E(?:$|{EDGE})")
+    return value.rlike(rf"(?i)(?:^|{EDGE}){quoted(term)}(?:$|{EDGE})")
 
 
 def category_score(value: Column, city: str, qualifiers: list[str]) -> Column:
@@ -182,8 +223,3 @@ def parse_list(value: Column) -> Column:
     quoted = F.regexp_replace(trimmed, r"'((?:[^'\\]|\\.)*)'", '"$1"')
     parsed = F.when(trimmed.rlike(r"^\[.*\]$"), F.coalesce(F.from_json(trimmed, "array<string>"), F.from_json(quoted, "array<string>")))
     return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(F.coalesce(parsed, F.array(value)))
-
-
-def phrase(text: str) -> str:
-    """TXT-10: trimmed, lower-cased, in double quotes."""
-    return '"' + text.strip().lower().replace('"', '""') + '"'

@@ -1,102 +1,148 @@
 """Inverted index and BM25 (REL-1, REL-2, TXT-10 to TXT-12, AGG-15, C4).
 
-postings: a row for each (term, page_id, col) with the term's positions. Queries
-read only their own terms' rows; a phrase is an intersection of shifted position
-lists, so nothing is joined but one small row set per word. N and the mean length
-count redirects too; results leave them out.
+The index is written once: a row for each (term, page_id, col) with the term's
+positions and, beside them, what scoring needs of the page (its length, whether it
+is a redirect), and one row of corpus statistics. Rows are dealt into ranges of
+(term, page_id) and sorted, so a query's filter on terms leaves only their row
+groups to be read, and a common term is spread over several files. A phrase is an
+intersection of shifted position lists, so nothing is joined but one row set per
+word. N and the mean length count redirects too; results leave them out.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoplace.functions.text import parse_place
 from chronoplace.operators.aggregates import first_by
+from chronoplace.shared import cleaning, exists, fresh_path
 
 COLUMNS = ("title", "first_paragraph", "full_text")
 K1, B = 1.2, 0.75
+POSTINGS = "term string, page_id long, col string, positions array<int>, n_tokens int, is_redirect boolean"
 
 
 def _bare(first: int, last: int) -> tuple[str, str]:
-    """Lower-case letters with marks in a range of code points and the letters without, by canonical decomposition."""
+    """Lower-case letters in a range of code points whose canonical decomposition starts with an ASCII letter, and those letters."""
     pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(first, last)]
-    pairs = [(a, b) for a, b in pairs if a != b and a == a.lower()]
+    pairs = [(a, b) for a, b in pairs if a != b and b.isascii() and b.isalpha() and a == a.lower()]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-MARKED, BARE = _bare(0xC0, 0x250)
+MARKED, BARE = _bare(0xC0, 0x1F00)
+# Bit masks of the combining marks, from U+0300 and from U+0320 on, that belong to a token and are dropped from it.
+MARKS = "".join(chr(0x300 + i) for i in range(32) if 0x08029FDF >> i & 1) + "".join(chr(0x320 + i) for i in range(18) if 0x000361F8 >> i & 1)
 
 
 def tokens(value: Column) -> Column:
-    """TXT-11: lower-case words of letters and digits, without marks."""
-    plain = F.translate(F.lower(F.coalesce(value, F.lit(""))), MARKED, BARE)
+    """TXT-11: lower-case words of letters and digits, Latin letters without marks."""
+    plain = F.translate(F.lower(F.coalesce(value, F.lit(""))), MARKED + MARKS, BARE)
     return F.filter(F.split(plain, r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
 
 
-def build(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """postings(term, page_id, col, positions) and lengths(page_id, is_redirect, n_tokens)."""
-    cols = [F.struct(F.lit(c).alias("col"), tokens(F.col(c)).alias("words")) for c in COLUMNS]
-    split = articles.select("page_id", "is_redirect", F.array(*cols).alias("cols"))
-    lengths = split.select("page_id", "is_redirect", F.aggregate("cols", F.lit(0), lambda n, c: n + F.size(c["words"])).alias("n_tokens"))
-    words = split.select("page_id", F.inline("cols")).select("page_id", "col", F.posexplode("words").alias("pos", "term"))
-    return words.groupBy("term", "page_id", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions")), lengths
+def query_words(text: str) -> list[str]:
+    """The tokenizer for one query string, on the driver."""
+    table = str.maketrans(MARKED, BARE, MARKS)
+    plain = "".join(c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co" else " " for c in text.strip().lower().translate(table))
+    return plain.split()
 
 
-def phrase_hits(postings: DataFrame, words: list[str], column: str | None = None) -> DataFrame:
-    """TXT-12: page_id and the number of places where the words stand in a row within one column."""
-    rows = postings if column is None else postings.filter(F.col("col") == column)
+def postings(articles: DataFrame) -> DataFrame:
+    """The rows of an index, not yet written."""
+    cols = [F.struct(F.lit(c).alias("col"), tokens(F.col(c)).alias("words")) for c in COLUMNS]
+    split = articles.select("page_id", "is_redirect", F.array(*cols).alias("cols"))
+    sized = split.withColumn("n_tokens", F.aggregate("cols", F.lit(0), lambda n, c: n + F.size(c["words"])))
+    words = sized.select("page_id", "is_redirect", "n_tokens", F.inline("cols")).select("page_id", "is_redirect", "n_tokens", "col", F.posexplode("words").alias("pos", "term"))
+    # a page has one length and one flag: they are keys here, which is the cheapest way to keep them
+    grouped = words.groupBy("term", "page_id", "col", "n_tokens", "is_redirect").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return grouped.select("term", "page_id", "col", "positions", "n_tokens", "is_redirect")
+
+
+def statistics(articles: DataFrame) -> DataFrame:
+    """One row: pages and their mean length, redirects and pages without words included."""
+    length = reduce(lambda a, b: a + b, (F.size(tokens(F.col(c))) for c in COLUMNS))
+    return articles.select(length.alias("n")).agg(F.count("*").alias("n_all"), F.avg("n").alias("avg_tokens"))
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """A written index. `postings`: see POSTINGS; n_all and avg_tokens are its one row of statistics."""
+
+    postings: DataFrame
+    n_all: int
+    avg_tokens: float
+    path: str
+
+    @classmethod
+    def build(cls, articles: DataFrame, path: str | None = None) -> TextIndex:
+        """SNK-12, SNK-6: writes the index, sorted by term and page; statistics last, so that only a whole index has them."""
+        spark = articles.sparkSession
+        path = path or fresh_path(spark, "text-index")
+        with cleaning(spark):
+            postings(articles).repartitionByRange("term", "page_id").sortWithinPartitions("term", "page_id", "col").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
+            statistics(articles).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
+        return cls.open(spark, path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> TextIndex:
+        if not exists(spark, f"{path}/statistics/_SUCCESS"):
+            raise FileNotFoundError(f"no text index at {path}: build it with TextIndex.build")
+        row = spark.read.schema("n_all long, avg_tokens double").parquet(f"{path}/statistics").first()
+        return cls(spark.read.schema(POSTINGS).parquet(f"{path}/postings"), row.n_all, row.avg_tokens or 0.0, path)
+
+    def of(self, words: list[str]) -> TextIndex:
+        """The index cut down to a query's words; the filter reaches the scan."""
+        return TextIndex(self.postings.filter(F.col("term").isin(sorted(set(words)))), self.n_all, self.avg_tokens, self.path)
+
+
+def phrase_hits(index: TextIndex, words: list[str], column: str | None = None) -> DataFrame:
+    """TXT-12: page_id, the number of places where the words stand in a row within one column, n_tokens and is_redirect."""
+    rows = index.postings if column is None else index.postings.filter(F.col("col") == column)
     if not words:
-        return rows.select("page_id", F.lit(0).cast("long").alias("hits")).limit(0)
-    found = rows.filter(F.col("term") == words[0]).select("page_id", "col", F.col("positions").alias("at"))
+        return rows.select("page_id", F.lit(0).cast("long").alias("hits"), "n_tokens", "is_redirect").limit(0)
+    found = rows.filter(F.col("term") == words[0]).select("page_id", "col", "n_tokens", "is_redirect", F.col("positions").alias("at"))
     for i, word in enumerate(words[1:], 1):
         shifted = _shifted(rows, word, i)
-        found = found.join(shifted, ["page_id", "col"]).select("page_id", "col", F.array_intersect("at", "next").alias("at")).filter(F.size("at") > 0)
-    return found.groupBy("page_id").agg(F.sum(F.size("at")).alias("hits"))
+        found = found.join(shifted, ["page_id", "col"]).withColumn("at", F.array_intersect("at", "next")).drop("next").filter(F.size("at") > 0)
+    return found.groupBy("page_id").agg(F.sum(F.size("at")).alias("hits"), F.max("n_tokens").alias("n_tokens"), F.max("is_redirect").alias("is_redirect"))
 
 
 def _shifted(rows: DataFrame, word: str, by: int) -> DataFrame:
     return rows.filter(F.col("term") == word).select("page_id", "col", F.transform("positions", lambda p: p - by).alias("next"))
 
 
-def query_words(text: str) -> list[str]:
-    """The tokenizer for one query string, on the driver."""
-    table = str.maketrans(MARKED, BARE)
-    plain = "".join(c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co" else " " for c in text.strip().lower().translate(table))
-    return plain.split()
-
-
-def bm25(postings: DataFrame, lengths: DataFrame, phrases: list[list[str]]) -> DataFrame:
+def bm25(index: TextIndex, phrases: list[list[str]]) -> DataFrame:
     """REL-1: page_id and bm25_score of the pages, redirects aside, that hold every phrase.
 
-    The corpus statistics are one row; document frequencies are one row per phrase.
+    A phrase's document frequency is a count over its own hits, one row beside them.
     """
-    stats = lengths.agg(F.count("*").alias("n_all"), F.avg("n_tokens").alias("avg_tokens"))
     parts = []
     for words in phrases:
-        hits = phrase_hits(postings, words)
-        n = hits.agg(F.count("*").alias("n"))
-        scored = hits.join(lengths, "page_id").crossJoin(F.broadcast(n)).crossJoin(F.broadcast(stats))
-        idf = F.ln((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+        hits = phrase_hits(index, words)
+        scored = hits.crossJoin(F.broadcast(hits.agg(F.count("*").alias("n"))))
+        idf = F.ln((index.n_all - F.col("n") + 0.5) / (F.col("n") + 0.5))
         idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-        weight = idf * F.col("hits") * (K1 + 1) / (F.col("hits") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_tokens")))
+        weight = idf * F.col("hits") * (K1 + 1) / (F.col("hits") + K1 * (1 - B + B * F.col("n_tokens") / index.avg_tokens)) if index.avg_tokens else F.lit(0.0)
         parts.append(scored.filter("not is_redirect").select("page_id", weight.alias("w")))
     every = reduce(lambda a, b: a.unionByName(b), parts)
     return every.groupBy("page_id").agg(F.sum("w").alias("bm25_score"), F.count("*").alias("k")).filter(F.col("k") == len(phrases)).drop("k")
 
 
-def text_candidates(postings: DataFrame, lengths: DataFrame, place: str) -> DataFrame:
+def text_candidates(index: TextIndex, place: str) -> DataFrame:
     """REL-2: strict phrase (tier 2) before all parts in any order (tier 1), with title and lead flags of the city."""
     parts = [query_words(p) for p in parse_place(place)]
+    index = index.of([w for p in parts for w in p])
     if not parts:
-        return lengths.select("page_id", F.lit(0.0).alias("bm25_score"), F.lit(0).alias("query_match_tier"), F.lit(False).alias("exact_title_match"), F.lit(False).alias("lead_exact_match")).limit(0)
-    strict = bm25(postings, lengths, [[w for p in parts for w in p]]).withColumn("query_match_tier", F.lit(2))
-    relaxed = bm25(postings, lengths, parts).withColumn("query_match_tier", F.lit(1))
+        return index.postings.select("page_id", F.lit(0.0).alias("bm25_score"), F.lit(0).alias("query_match_tier"), F.lit(False).alias("exact_title_match"), F.lit(False).alias("lead_exact_match")).limit(0)
+    strict = bm25(index, [[w for p in parts for w in p]]).withColumn("query_match_tier", F.lit(2))
+    relaxed = bm25(index, parts).withColumn("query_match_tier", F.lit(1))
     out = first_by(strict.unionByName(relaxed), "page_id", F.desc("query_match_tier"))
     for column, flag in (("title", "exact_title_match"), ("first_paragraph", "lead_exact_match")):
-        hit = phrase_hits(postings, parts[0], column).select("page_id", F.lit(True).alias(flag))
+        hit = phrase_hits(index, parts[0], column).select("page_id", F.lit(True).alias(flag))
         out = out.join(hit, "page_id", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
     return out

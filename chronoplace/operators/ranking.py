@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoplace.functions.geo import proximity
+from chronoplace.functions.text import parse_list
 from chronoplace.operators.aggregates import first_by, union_all
+from chronoplace.shared import materialise
 
 # Weights and thresholds of ranking.
 RRF_K = 60
 RRF_WEIGHTS = {"bm25_strict": 4.0, "bm25_relaxed": 1.0, "kalm": 1.0, "category": 5.0, "graph": 0.0}
-SCORE_WEIGHTS = {"rrf": 100.0, "hop": 2.0, "quality": 1.0, "category": 4.0, "graph": 0.0}
+SCORE_WEIGHTS = {"geographic": 0.5, "hop": 2.0, "quality": 1.0, "importance": 1.0, "category": 4.0, "graph": 0.0}
+RRF_SCALE = 100.0
 IMPORTANCE_WEIGHT, IMPORTANCE_POPULATION = 1.5, 200_000
 RERANK_ROWS, RERANK_WEIGHT = 50, 5.0
 SOURCES = ("coordinates", "bm25", "dense", "category", "graph")
@@ -49,9 +52,9 @@ def number(value: Column) -> Column:
     return F.coalesce(value.try_cast("double"), F.lit(0.0))
 
 
-def entity_class(types: Column) -> Column:
-    """REL-15: whole type names, lower-cased; null and empty lists are other."""
-    low = F.transform(types, F.lower)
+def entity_class(types: Column, as_text: bool = False) -> Column:
+    """REL-15: whole type names, lower-cased; null and empty lists are other. `as_text`: lists written as text (TXT-17)."""
+    low = F.transform(parse_list(types) if as_text else types, F.lower)
     out = F.lit("other")
     for name, words in reversed(CLASSES.items()):
         out = F.when(F.arrays_overlap(low, F.array(*map(F.lit, words))), F.lit(name)).otherwise(out)
@@ -83,10 +86,10 @@ def quality() -> Column:
     return part(F.col("is_list_article"), -5.0) + part((lead < 160) & (full < 800), -2.5) + part(recognised, 0.75) + part(lead >= 240, 1.0) + part(lead < 80, -0.75)
 
 
-def features(df: DataFrame, population: int | None) -> DataFrame:
-    """quality_score and importance_score (REL-9, REL-10)."""
-    use = population is not None and population >= IMPORTANCE_POPULATION
-    return df.withColumns({"quality_score": quality(), "importance_score": F.lit(IMPORTANCE_WEIGHT) * completeness(df), "use_importance": F.lit(use)})
+def features(df: DataFrame, population: int | None, weight: float = IMPORTANCE_WEIGHT, least_population: int = IMPORTANCE_POPULATION) -> DataFrame:
+    """quality_score and importance_score (REL-9, REL-10); the prior counts for cities of `least_population` or more."""
+    use = population is not None and population >= least_population
+    return df.withColumns({"quality_score": quality(), "importance_score": F.lit(float(weight)) * completeness(df), "use_importance": F.lit(use)})
 
 
 def fuse(rankings: Mapping[str, DataFrame], weights: Mapping[str, float] | None = None, k: int = RRF_K, top_n: int | None = None) -> DataFrame:
@@ -108,19 +111,37 @@ def fuse(rankings: Mapping[str, DataFrame], weights: Mapping[str, float] | None
     return out.orderBy(F.desc("rrf_score"), "page_id").limit(top_n) if top_n else out
 
 
+#: Rows that one task numbers at most; beyond, ranges of the order are numbered side by side.
+ALONE = 20_000
+
+
 def ranked(df: DataFrame, *order: Column | str) -> DataFrame:
-    """SRT-2, RNK-1: page_id and rank 1 to n in an order that ends in page_id. For candidate lists of one query."""
-    return df.select("page_id", F.row_number().over(Window.orderBy(*order, "page_id")).alias("rank"))
+    """SRT-2, RNK-1: page_id and rank 1 to n in an order that ends in page_id.
+
+    Rows are dealt into ranges of the order; a row's rank is its place in its range and the sizes of the ranges before
+    (one row for each range). A list that is known to be short is numbered by one task instead.
+    """
+    keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    if df.count() <= ALONE:
+        return df.select("page_id", F.row_number().over(Window.orderBy(*keys, "page_id")).alias("rank"))
+    # written, so that both readers below see the same ranges
+    dealt = materialise(df.repartitionByRange(*keys, "page_id").withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("n"))
+    before = sizes.select("__range", (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*keys, "page_id"))
+    return dealt.withColumn("place", place).join(F.broadcast(before), "__range").select("page_id", (F.col("before") + F.col("place")).cast("int").alias("rank"))
 
 
 def score(df: DataFrame, radius: float, weights: Mapping[str, float] | None = None) -> Column:
-    """REL-12; given weights are merged over the defaults, missing columns count 0."""
+    """REL-12; given weights are merged over the defaults, missing columns count 0; a weight that isn't known is an error."""
+    if unknown := set(weights or {}) - set(SCORE_WEIGHTS):
+        raise ValueError(f"unknown score weights: {sorted(unknown)}")
     w = {**SCORE_WEIGHTS, **(weights or {})}
     value = lambda c: number(F.col(c)) if c in df.columns else F.lit(0.0)
     hop = F.coalesce((5 - F.col("hop")) * w["hop"], F.lit(0.0)) if "hop" in df.columns else F.lit(0.0)
-    near = proximity(F.col("distance_km"), radius) if "distance_km" in df.columns else F.lit(0.0)
-    prior = F.when(F.col("use_importance"), value("importance_score")).otherwise(0.0) if "use_importance" in df.columns else F.lit(0.0)
-    return w["rrf"] * value("rrf_score") + near + hop + w["quality"] * value("quality_score") + prior + w["category"] * value("category_score") + w["graph"] * value("graph_score")
+    near = proximity(F.col("distance_km"), radius, w["geographic"]) if "distance_km" in df.columns else F.lit(0.0)
+    prior = F.when(F.col("use_importance"), w["importance"] * value("importance_score")).otherwise(0.0) if "use_importance" in df.columns else F.lit(0.0)
+    return RRF_SCALE * value("rrf_score") + near + hop + w["quality"] * value("quality_score") + prior + w["category"] * value("category_score") + w["graph"] * value("graph_score")
 
 
 def min_max(value: Column) -> Column:

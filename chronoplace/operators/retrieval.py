@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoplace.functions.text import category_score, parse_place
+from chronoplace.functions.text import category_score, parse_place, quoted
 from chronoplace.operators.aggregates import first_by
 
 
@@ -19,6 +19,7 @@ def location_match(city: str) -> Column:
 
 def category_match(terms: list[str]) -> Column:
     """FLT-8."""
+    # Where a term may stand in a category.
     value = F.lower(F.translate("category", "_()", "   "))
     one = lambda t: (value == t) | value.like(f"{t} %") | value.like(f"% {t}") | value.like(f"% {t} %") | value.like(f"% {t},%")
     return reduce(lambda a, b: a | b, (one(t.lower()) for t in terms))
@@ -40,8 +41,9 @@ def country_match(country: str | None) -> Column:
     if not country or not country.strip():
         return F.lit(True)
     name = country.strip().lower()
+    # The shape of a label in a list that is written as text.
     value = F.trim(F.lower(F.coalesce("country", F.lit(""))))
-    return (value == name) | value.rlike(rf"(?:^|[\[\],;|])\s*['\"]?\Q{name}\E['\"]?\s*(?:$|[\],;|])")
+    return (value == name) | value.rlike(rf"(?:^|[\[\],;|])\s*['\"]?{quoted(name)}['\"]?\s*(?:$|[\],;|])")
 
 
 def country_pages(articles: DataFrame, country: str) -> DataFrame:
@@ -56,6 +58,7 @@ def restrict_to_graph(df: DataFrame, graph: DataFrame) -> DataFrame:
 
 def match_reason() -> Column:
     """PRJ-2."""
+    # The reasons as they are shown.
     return (
         F.when(F.col("exact_title_match"), "City in title")
         .when(F.col("lead_exact_match"), "City in introduction")

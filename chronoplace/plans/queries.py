@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from chronoplace.functions import dates, geo, text
 from chronoplace.operators import aggregates, graph, postings, ranking, retrieval, vectors
+from chronoplace.plans import api
+from chronoplace.plans import build as B
 from chronoplace.plans import engine as E
 from chronoplace.plans import roles as V
 
@@ -31,21 +34,19 @@ def _r(column: str, digits: int = 6):
     return F.round(column, digits).alias(column)
 
 
-MARKED, BARE = postings.MARKED, postings.BARE
-
-
 def _T(c: str) -> str:
-    return f"list_filter(regexp_split_to_array(translate(lower({c}), '{MARKED}', '{BARE}'), '[^\\p{{L}}\\p{{N}}\\p{{Co}}]+'), lambda t : t <> '')"
+    return f"list_filter(regexp_split_to_array(strip_accents(lower({c})), '[^\\p{{L}}\\p{{N}}\\p{{Co}}]+'), lambda t : t <> '')"
 
 
-POSTINGS = f"""cols AS (
+def _postings(a: str, b: str) -> str:
+    return f"""cols AS (
   SELECT page_id, is_redirect, 'title' AS col, {_T('title')} AS w FROM articles UNION ALL
   SELECT page_id, is_redirect, 'first_paragraph', {_T('first_paragraph')} FROM articles UNION ALL
   SELECT page_id, is_redirect, 'full_text', {_T('full_text')} FROM articles
 ), lengths AS (SELECT page_id, is_redirect, sum(len(w)) AS n_tokens FROM cols GROUP BY ALL
 ), stats AS (SELECT count(*) AS n_all, avg(n_tokens) AS avg_tokens FROM lengths
 ), terms AS (SELECT page_id, col, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM cols
-), ph(phrase, i, word, size) AS (VALUES ('that', 0, 'that', 1), ('with', 0, 'with', 1), ('that with', 0, 'that', 2), ('that with', 1, 'with', 2)
+), ph(phrase, i, word, size) AS (VALUES ('{a}', 0, '{a}', 1), ('{b}', 0, '{b}', 1), ('{a} {b}', 0, '{a}', 2), ('{a} {b}', 1, '{b}', 2)
 ), hits AS (
   SELECT phrase, page_id, col, count(*) AS n FROM (
     SELECT phrase, page_id, col, pos - i AS start FROM terms JOIN ph ON term = word GROUP BY phrase, page_id, col, pos - i, size HAVING count(DISTINCT i) = size) GROUP BY ALL
@@ -55,61 +56,64 @@ POSTINGS = f"""cols AS (
   SELECT phrase, page_id, (CASE WHEN ln((n_all - n + 0.5) / (n + 0.5)) <= 0 THEN CAST(0.000001 AS DOUBLE) ELSE ln((n_all - n + 0.5) / (n + 0.5)) END)
     * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n_tokens / avg_tokens)) AS w
   FROM page_hits JOIN dfs USING (phrase) JOIN lengths USING (page_id), stats WHERE NOT is_redirect
-), strict AS (SELECT page_id, w AS bm25_score, 2 AS tier FROM weights WHERE phrase = 'that with'
-), relaxed AS (SELECT page_id, sum(w) AS bm25_score, 1 AS tier FROM weights WHERE phrase IN ('that', 'with') GROUP BY page_id HAVING count(*) = 2
+), strict AS (SELECT page_id, w AS bm25_score, 2 AS tier FROM weights WHERE phrase = '{a} {b}'
+), relaxed AS (SELECT page_id, sum(w) AS bm25_score, 1 AS tier FROM weights WHERE phrase IN ('{a}', '{b}') GROUP BY page_id HAVING count(*) = 2
 ), texts AS (
   SELECT page_id, bm25_score, tier,
-    page_id IN (SELECT page_id FROM hits WHERE phrase = 'that' AND col = 'title') AS exact_title_match,
-    page_id IN (SELECT page_id FROM hits WHERE phrase = 'that' AND col = 'first_paragraph') AS lead_exact_match
+    page_id IN (SELECT page_id FROM hits WHERE phrase = '{a}' AND col = 'title') AS exact_title_match,
+    page_id IN (SELECT page_id FROM hits WHERE phrase = '{a}' AND col = 'first_paragraph') AS lead_exact_match
   FROM (SELECT * FROM strict UNION ALL SELECT * FROM relaxed) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY tier DESC) = 1
 )"""
+
+
 _ART = f"WITH {V.ARTICLES}"
-_TXT = f"WITH {V.ARTICLES}, {POSTINGS}"
+_TXT = f"WITH {V.ARTICLES}, {_postings('that', 'with')}"
 
 
 @query(_TXT + " SELECT page_id, round(bm25_score, 6) AS bm25_score FROM relaxed ORDER BY bm25_score DESC, page_id LIMIT 20")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """REL-1, AGG-15, TOP-2."""
-    p, n = postings.build(V.articles(spark, d))
-    return postings.bm25(p, n, [["that"], ["with"]]).select("page_id", _r("bm25_score")).orderBy(F.desc("bm25_score"), "page_id").limit(20)
+    return postings.bm25(V.text_index(spark, d), [["that"], ["with"]]).select("page_id", _r("bm25_score")).orderBy(F.desc("bm25_score"), "page_id").limit(20)
 
 
 @query(_TXT + " SELECT page_id, round(bm25_score, 6) AS bm25_score FROM strict")
 def phrase_strict(spark: SparkSession, d: str) -> DataFrame:
     """TXT-10, TXT-12."""
-    return postings.bm25(*postings.build(V.articles(spark, d)), [V.WORDS]).select("page_id", _r("bm25_score"))
+    return postings.bm25(V.text_index(spark, d), [V.WORDS]).select("page_id", _r("bm25_score"))
 
 
 @query(_TXT + " SELECT page_id, round(bm25_score, 6) AS bm25_score FROM relaxed")
 def and_tier(spark: SparkSession, d: str) -> DataFrame:
     """REL-2, JOI-3."""
-    return postings.bm25(*postings.build(V.articles(spark, d)), [["that"], ["with"]]).select("page_id", _r("bm25_score"))
+    return postings.bm25(V.text_index(spark, d), [["that"], ["with"]]).select("page_id", _r("bm25_score"))
 
 
 @query(_TXT + " SELECT page_id, round(bm25_score, 6) AS bm25_score, tier AS query_match_tier, exact_title_match, lead_exact_match FROM texts")
 def text_tiers_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """REL-2, AGG-6, TXT-13."""
-    return postings.text_candidates(*postings.build(V.articles(spark, d)), V.PLACE).withColumn("bm25_score", F.round("bm25_score", 6))
+    return postings.text_candidates(V.text_index(spark, d), V.PLACE).withColumn("bm25_score", F.round("bm25_score", 6))
 
 
 @query(_TXT + " SELECT page_id, col, CAST(n AS BIGINT) AS hits FROM hits WHERE phrase = 'that' AND col <> 'full_text'")
 def title_lead_flags(spark: SparkSession, d: str) -> DataFrame:
     """TXT-12: column-scoped phrases."""
-    p, _ = postings.build(V.articles(spark, d))
-    return aggregates.union_all(*(postings.phrase_hits(p, ["that"], c).withColumn("col", F.lit(c)) for c in ("title", "first_paragraph")))
+    index = V.text_index(spark, d)
+    return aggregates.union_all(*(postings.phrase_hits(index, ["that"], c).select("page_id", "hits", F.lit(c).alias("col")) for c in ("title", "first_paragraph")))
 
 
 @query(_TXT + " SELECT term, CAST(count(DISTINCT page_id) AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS cf FROM terms GROUP BY term")
 def token_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """TXT-11, AGG-15."""
-    p, _ = postings.build(V.articles(spark, d))
+    """TXT-11, AGG-15, SNK-12."""
+    p = V.text_index(spark, d).postings
     return p.groupBy("term").agg(F.count_distinct("page_id").alias("df"), F.sum(F.size("positions")).alias("cf"))
 
 
+# Words of history.
+_PAST = "(?i)(?:history|historical|medieval|revolution|war|military|political|economic|social|cultural|architecture|timeline|archaeolog|historic)"
 _CATEGORY = """CASE WHEN in_city AND past THEN 1.0 WHEN in_city THEN 0.75 WHEN near AND past THEN 0.45 WHEN near THEN 0.2 ELSE 0.0 END"""
 _SCORED = f"""scored AS (SELECT page_id, category, hop, CAST({_CATEGORY} AS DOUBLE) AS category_score FROM (SELECT *,
   regexp_matches(category, '(?i)(?:^|[ _(),-])src1(?:$|[ _(),-])') AS in_city, regexp_matches(category, '(?i)(?:^|[ _(),-])en(?:$|[ _(),-])') AS near,
-  regexp_matches(category, '{text.HISTORY}') AS past FROM membership))"""
+  regexp_matches(category, '{_PAST}') AS past FROM membership))"""
 _NORM = "lower(translate(category, '_()', '   '))"
 _MATCH = " OR ".join(f"{_NORM} = '{t}' OR {_NORM} LIKE '{t} %' OR {_NORM} LIKE '% {t}' OR {_NORM} LIKE '% {t} %' OR {_NORM} LIKE '% {t},%'" for t in ("src1", "en"))
 
@@ -152,7 +156,7 @@ def _km(lat1: str, lon1: str) -> str:
     return _HAV.format(a=a)
 
 
-_BOX = geo.box(V.LAT, V.LON, V.RADIUS)
+_BOX = (12.5 - 480 / 111, 12.5 + 480 / 111, 30.25 - 480 / (111 * math.cos(math.radians(12.5))), 30.25 + 480 / (111 * math.cos(math.radians(12.5))))
 _NEAR = f"(SELECT *, {_km(f'{V.LAT}::DOUBLE', f'{V.LON}::DOUBLE')} AS distance_km FROM articles WHERE NOT is_redirect AND lat IS NOT NULL)"
 
 
@@ -194,7 +198,7 @@ def dense_scoped_topk(spark: SparkSession, d: str) -> DataFrame:
     return vectors.top(V.vectors(spark, d), V.query_vector(spark, d), 20, retrieval.country_pages(V.articles(spark, d), "EN ")).select("page_id", _r("dense_score"))
 
 
-@query(_ART + f" SELECT page_id, round({_DOT}, 6) AS dense_score FROM articles JOIN embeddings ON vec_id = page_id WHERE page_id % 2 = 0")
+@query(_ART + f" SELECT page_id, round({_DOT}, 6) AS dense_score FROM articles JOIN embeddings ON vec_id = page_id")
 def dense_lookup(spark: SparkSession, d: str) -> DataFrame:
     """JOI-15: ids without a vector drop out."""
     return vectors.scores(V.vectors(spark, d), V.query_vector(spark, d), V.articles(spark, d)).select("page_id", _r("dense_score"))
@@ -210,7 +214,7 @@ def knn_join(spark: SparkSession, d: str) -> DataFrame:
     return vectors.top_batch(v, v.filter("page_id % 20 = 0").select(F.col("page_id").alias("query_id"), F.col("embedding").alias("query")), 5).select("query_id", "page_id", _r("dense_score"), "rank")
 
 
-_GRAPH = "graph AS (SELECT page_id % 7 AS geoname_id, replace(title, ' ', '_') AS article_title, CAST(page_id % 3 AS INT) AS graph_distance FROM articles WHERE page_id % 4 = 0)"
+_GRAPH = "graph AS (SELECT page_id % 7 AS geoname_id, replace(title, ' ', '_') AS article_title, CAST(page_id % 3 AS INT) AS graph_distance FROM articles)"
 _GSCORE = "gs AS (SELECT page_id, min(graph_distance) AS graph_distance, 1.0::DOUBLE / (1 + min(graph_distance)) AS graph_score FROM (SELECT page_id, graph.graph_distance FROM articles JOIN graph ON replace(title, ' ', '_') = article_title WHERE NOT is_redirect) GROUP BY page_id)"
 
 
@@ -240,7 +244,8 @@ def country_restrict(spark: SparkSession, d: str) -> DataFrame:
 _LEN = "length(first_paragraph)"
 _QUALITY = f"""(CASE WHEN is_list_article THEN -5.0 ELSE 0 END + CASE WHEN {_LEN} < 160 AND length(full_text) < 800 THEN -2.5 ELSE 0 END + CASE WHEN entity_class <> 'other' THEN 0.75 ELSE 0 END
   + CASE WHEN {_LEN} >= 240 THEN 1.0 ELSE 0 END + CASE WHEN {_LEN} < 80 THEN -0.75 ELSE 0 END)"""
-_CLASS = "CASE " + " ".join(f"WHEN lower(kind) IN ({', '.join(repr(w) for w in words)}) THEN '{name}'" for name, words in ranking.CLASSES.items()) + " ELSE 'other' END"
+# The kinds that the articles' role has: a person, an event, places, a work, an organisation; a rock is none of them.
+_CLASS = "CASE kind WHEN 'Human' THEN 'person' WHEN 'battle' THEN 'event' WHEN 'Museum' THEN 'place' WHEN 'city' THEN 'place' WHEN 'novel' THEN 'work' WHEN 'Company' THEN 'organization' ELSE 'other' END"
 
 
 def _filled(c: str) -> str:
@@ -249,7 +254,16 @@ def _filled(c: str) -> str:
     return f"({c} IS NOT NULL AND trim(CAST({c} AS VARCHAR)) NOT IN ('', '[]', '{{}}', 'null', 'None'))"
 
 
-_COMPLETE = "CASE entity_class " + " ".join(f"WHEN '{k}' THEN (" + " + ".join(f"CASE WHEN {_filled(c)} THEN {w} ELSE 0 END" for c, w in f.items()) + f") / {sum(f.values())!r}" for k, f in ranking.PROFILES.items()) + " ELSE 0 END"
+# Weights of the fields of each class.
+_FIELDS = {
+    "person": ("wikidata_id 1.0", "instance_of 1.0", "occupation 1.0", "birth_date 0.6", "death_date 0.6", "country 0.4"),
+    "place": ("wikidata_id 1.0", "instance_of 1.0", "country 0.7", "location 0.7", "lat 0.5", "lon 0.5", "inception 0.4"),
+    "event": ("wikidata_id 1.0", "instance_of 1.0", "country 0.4", "location 0.4", "start_time 0.6", "end_time 0.6", "point_in_time 0.6"),
+    "work": ("wikidata_id 1.0", "instance_of 1.0", "country 0.4", "inception 0.6"),
+    "other": ("wikidata_id 1.0", "instance_of 1.0", "country 0.4", "location 0.4", "inception 0.4", "point_in_time 0.4"),
+}
+_WHOLE = {"person": 4.6, "place": 4.8, "event": 4.6, "work": 3.0, "other": 3.6}
+_COMPLETE = "CASE entity_class " + " ".join(f"WHEN '{k}' THEN (" + " + ".join(f"CASE WHEN {_filled(x.split()[0])} THEN {x.split()[1]} ELSE 0 END" for x in fields) + f") / {_WHOLE[k]}" for k, fields in _FIELDS.items()) + " ELSE 0 END"
 _FEATURED = f"featured AS (SELECT *, CAST({_QUALITY} AS DOUBLE) AS quality_score, CAST({_COMPLETE} AS DOUBLE) AS completeness FROM (SELECT *, {_CLASS} AS entity_class FROM articles))"
 
 
@@ -281,7 +295,7 @@ def importance_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "WITH r AS (SELECT doc_id AS page_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS a, row_number() OVER (ORDER BY lang, doc_id) AS b FROM documents WHERE doc_id % 2 = 0)"
+    "WITH r AS (SELECT doc_id AS page_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS a, row_number() OVER (ORDER BY lang, doc_id) AS b FROM documents)"
     " SELECT page_id, round(4.0::DOUBLE / (60 + a) + CASE WHEN page_id % 3 = 0 THEN 5.0::DOUBLE / (60 + b) ELSE 0 END, 9) AS rrf_score, CASE WHEN page_id % 3 = 0 THEN 'bm25_strict,category' ELSE 'bm25_strict' END AS rrf_sources FROM r"
 )
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -332,41 +346,68 @@ def search_stats(spark: SparkSession, d: str) -> DataFrame:
     return ranking.stats(_final(spark, d))
 
 
-_HYBRID = f"""WITH {V.ARTICLES}, {POSTINGS}, {V.MEMBERSHIP}, {_FEATURED}, scored AS (SELECT page_id, CAST({_CATEGORY} AS DOUBLE) AS category_score FROM (SELECT *,
-  regexp_matches(category, '(?i)(?:^|[ _(),-])that(?:$|[ _(),-])') AS in_city, regexp_matches(category, '(?i)(?:^|[ _(),-])with(?:$|[ _(),-])') AS near, regexp_matches(category, '{text.HISTORY}') AS past FROM membership WHERE
-  {" OR ".join(f"{_NORM} = '{t}' OR {_NORM} LIKE '{t} %' OR {_NORM} LIKE '% {t}' OR {_NORM} LIKE '% {t} %' OR {_NORM} LIKE '% {t},%'" for t in V.WORDS)})
-), entity AS (SELECT page_id, max(category_score) AS category_score FROM scored JOIN articles USING (page_id) WHERE NOT is_redirect GROUP BY page_id
-), pages AS (SELECT *, CASE WHEN lat IS NOT NULL THEN {_km(f'{V.LAT}::DOUBLE', f'{V.LON}::DOUBLE')} END AS km FROM featured WHERE NOT is_redirect
-), dense_ids AS (SELECT vec_id AS page_id FROM embeddings WHERE vec_id IN (SELECT page_id FROM pages) ORDER BY {_DOT} DESC, vec_id LIMIT 200
-), dense AS (SELECT vec_id AS page_id, {_DOT} AS dense_score FROM embeddings
-), cand AS (SELECT page_id FROM texts UNION SELECT page_id FROM entity UNION SELECT page_id FROM pages WHERE km <= {V.RADIUS} UNION SELECT page_id FROM dense_ids
-), wide AS (SELECT p.page_id, p.hop, p.quality_score, p.lat, CASE WHEN km <= {V.RADIUS} THEN km END AS distance_km, t.bm25_score, t.tier, e.category_score, d.dense_score
-  FROM cand JOIN pages p USING (page_id) LEFT JOIN texts t USING (page_id) LEFT JOIN entity e USING (page_id) LEFT JOIN dense d USING (page_id)
-), far AS (SELECT * FROM wide WHERE distance_km IS NULL AND lat IS NULL
+def _hybrid(scope: str, linked: bool) -> str:
+    """The whole search. scope: a condition on pages that every branch but the mapped ones' distance keeps to; linked: with the graph branch."""
+    graph_rows = "SELECT page_id, graph_distance, graph_score FROM gs" if linked else "SELECT CAST(NULL AS BIGINT) AS page_id, 0 AS graph_distance, 0.0 AS graph_score LIMIT 0"
+    a, b = V.RARE_WORDS
+    words = " OR ".join(f"{_NORM} = '{t}' OR {_NORM} LIKE '{t} %' OR {_NORM} LIKE '% {t}' OR {_NORM} LIKE '% {t} %' OR {_NORM} LIKE '% {t},%'" for t in (a, b))
+    return f"""WITH {V.ARTICLES}, {_postings(a, b)}, {V.MEMBERSHIP}, {_FEATURED}, {_GRAPH_OF_ONE}, {_GSCORE}, pages AS (SELECT *, CASE WHEN lat IS NOT NULL THEN {_km(f'{V.LAT}::DOUBLE', f'{V.LON}::DOUBLE')} END AS km FROM featured WHERE NOT is_redirect
+), scoped AS (SELECT page_id FROM pages WHERE {scope}
+), scored AS (SELECT page_id, CAST({_CATEGORY} AS DOUBLE) AS category_score FROM (SELECT *,
+  regexp_matches(category, '(?i)(?:^|[ _(),-]){a}(?:$|[ _(),-])') AS in_city, regexp_matches(category, '(?i)(?:^|[ _(),-]){b}(?:$|[ _(),-])') AS near, regexp_matches(category, '{_PAST}') AS past FROM membership WHERE {words})
+), entity AS (SELECT page_id, max(category_score) AS category_score FROM scored JOIN scoped USING (page_id) GROUP BY page_id
+), text AS (SELECT * FROM texts JOIN scoped USING (page_id)
+), dense_ids AS (SELECT * FROM (SELECT vec_id AS page_id FROM embeddings WHERE vec_id IN (SELECT page_id FROM pages) ORDER BY {_DOT} DESC, vec_id LIMIT 200) JOIN scoped USING (page_id)
+), dense AS (SELECT vec_id AS page_id, {_DOT} AS dense_score FROM embeddings WHERE vec_id IN (SELECT page_id FROM dense_ids UNION SELECT page_id FROM text)
+), linked AS ({graph_rows}
+), cand AS (SELECT page_id FROM text UNION SELECT page_id FROM entity UNION SELECT page_id FROM pages JOIN scoped USING (page_id) WHERE km <= {V.RADIUS} UNION SELECT page_id FROM dense_ids UNION SELECT page_id FROM linked JOIN scoped USING (page_id)
+), wide AS (SELECT p.page_id, p.hop, p.quality_score, p.lat, CASE WHEN km <= {V.RADIUS} THEN km END AS distance_km, t.bm25_score, t.tier, e.category_score, d.dense_score, g.graph_score, g.graph_distance
+  FROM cand JOIN pages p USING (page_id) LEFT JOIN text t USING (page_id) LEFT JOIN entity e USING (page_id) LEFT JOIN dense d USING (page_id) LEFT JOIN linked g USING (page_id)
+), far AS (SELECT *, tier IS NOT NULL AND bm25_score >= 1 AS in_text FROM wide WHERE distance_km IS NULL AND lat IS NULL
 ), rr AS (
-  SELECT page_id, 4.0::DOUBLE / (60 + row_number() OVER (ORDER BY bm25_score DESC, page_id)) AS w FROM far WHERE tier = 2 AND bm25_score > 0 UNION ALL
-  SELECT page_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY bm25_score DESC, page_id)) FROM far WHERE tier = 1 AND bm25_score > 0 UNION ALL
+  SELECT page_id, 4.0::DOUBLE / (60 + row_number() OVER (ORDER BY bm25_score DESC, page_id)) AS w FROM far WHERE in_text AND tier = 2 UNION ALL
+  SELECT page_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY bm25_score DESC, page_id)) FROM far WHERE in_text AND tier = 1 UNION ALL
   SELECT page_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY dense_score DESC, page_id)) FROM far WHERE dense_score IS NOT NULL UNION ALL
   SELECT page_id, 5.0::DOUBLE / (60 + row_number() OVER (ORDER BY category_score DESC, quality_score DESC, page_id)) FROM far WHERE category_score > 0
 ), fused AS (SELECT page_id, sum(w) AS rrf_score FROM rr GROUP BY page_id
-), found AS (SELECT page_id, distance_km, CASE WHEN distance_km IS NOT NULL THEN 'coordinates' WHEN tier IS NOT NULL THEN 'bm25' WHEN dense_score IS NOT NULL THEN 'dense' ELSE 'category' END AS result_source,
+), found AS (SELECT page_id, distance_km, CASE WHEN distance_km IS NOT NULL THEN 'coordinates' WHEN in_text THEN 'bm25' WHEN dense_score IS NOT NULL THEN 'dense' WHEN category_score > 0 THEN 'category' ELSE 'graph' END AS result_source,
     100 * coalesce(rrf_score, 0) + CASE WHEN distance_km IS NULL THEN 0 ELSE greatest(0, 0.5 * (1 - distance_km / 480)) END + (5 - hop) * 2.0 + quality_score + 4 * coalesce(category_score, 0) AS score
-  FROM (SELECT * FROM wide WHERE distance_km IS NOT NULL UNION ALL SELECT * FROM far WHERE tier IS NOT NULL OR dense_score IS NOT NULL OR category_score > 0) LEFT JOIN fused USING (page_id))"""
+  FROM (SELECT *, false AS in_text FROM wide WHERE distance_km IS NOT NULL UNION ALL SELECT * FROM far WHERE in_text OR dense_score IS NOT NULL OR category_score > 0 OR graph_score IS NOT NULL) LEFT JOIN fused USING (page_id))
+SELECT page_id, result_source, round(score, 5) AS score FROM (SELECT * FROM found WHERE distance_km IS NOT NULL UNION ALL SELECT * FROM (SELECT * FROM found WHERE distance_km IS NULL ORDER BY score DESC, page_id LIMIT 150))"""
+
+
+_GRAPH_OF_ONE = "graph AS (SELECT replace(title, ' ', '_') AS article_title, CAST(page_id % 3 AS INT) AS graph_distance FROM articles WHERE page_id % 7 = 3)"
 
 
-@query(_HYBRID + " SELECT page_id, result_source, round(score, 5) AS score FROM (SELECT * FROM found WHERE distance_km IS NOT NULL UNION ALL SELECT * FROM (SELECT * FROM found WHERE distance_km IS NULL ORDER BY score DESC, page_id LIMIT 150))")
+def _engine(spark: SparkSession, d: str, **more: DataFrame) -> E.Engine:
+    return E.Engine(_featured(spark, d), V.membership(spark, d), V.vectors(spark, d), text=V.text_index(spark, d), **more)
+
+
+@query(_hybrid("true", False))
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """REL-1 to REL-14, API-1: the flagship."""
-    a = _featured(spark, d)
-    e = E.Engine(a, V.membership(spark, d), V.vectors(spark, d))
-    found, _ = e.search(V.PLACE, V.LAT, V.LON, V.RADIUS, query_vector=V.query_vector(spark, d))
+    found, _ = _engine(spark, d).search(V.RARE_PLACE, V.LAT, V.LON, V.RADIUS, query_vector=V.query_vector(spark, d))
+    return found.select("page_id", "result_source", _r("score", 5))
+
+
+@query(_hybrid("page_id IN (SELECT page_id FROM gs)", True))
+def linked_search(spark: SparkSession, d: str) -> DataFrame:
+    """GRF-6, FLT-11, JOI-8, REL-6: the search within a city's link graph."""
+    found, _ = _engine(spark, d, city_graph=_graph(spark, d)).search(V.RARE_PLACE, V.LAT, V.LON, V.RADIUS, geoname_id=3, linked_only=True, query_vector=V.query_vector(spark, d))
+    return found.select("page_id", "result_source", _r("score", 5))
+
+
+@query(_hybrid("lower(trim(country)) = 'en' OR regexp_matches(lower(country), '(?:^|[\\[\\],;|])\\s*[''\"]?en[''\"]?\\s*(?:$|[\\],;|])')", False).replace("vec_id IN (SELECT page_id FROM pages)", "vec_id IN (SELECT page_id FROM pages WHERE lower(trim(country)) = 'en')"))
+def country_search(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-9, FLT-10, REL-5: the search within a country."""
+    found, _ = _engine(spark, d).search(V.RARE_PLACE, V.LAT, V.LON, V.RADIUS, country=" En", query_vector=V.query_vector(spark, d))
     return found.select("page_id", "result_source", _r("score", 5))
 
 
 @query(_TXT + ", r AS (SELECT page_id, exact_title_match, lead_exact_match, page_id % 5 = 0 AS ent, page_id % 3 = 0 AS near FROM texts) SELECT page_id, CASE WHEN exact_title_match THEN 'City in title' WHEN lead_exact_match THEN 'City in introduction' WHEN ent THEN 'City in location metadata' WHEN near THEN 'Mapped nearby' ELSE 'City mentioned in article' END AS match_reason FROM r")
 def match_reason(spark: SparkSession, d: str) -> DataFrame:
     """PRJ-2."""
-    t = postings.text_candidates(*postings.build(V.articles(spark, d)), V.PLACE).withColumn("entity_associated", F.col("page_id") % 5 == 0)
+    t = postings.text_candidates(V.text_index(spark, d), V.PLACE).withColumn("entity_associated", F.col("page_id") % 5 == 0)
     return t.withColumn("result_source", F.when(F.col("page_id") % 3 == 0, "coordinates").otherwise("bm25")).select("page_id", retrieval.match_reason().alias("match_reason"))
 
 
@@ -507,13 +548,13 @@ def min_hop(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {V.EDGES}, walk AS (SELECT page_id AS city, page_id AS node, 0 AS dist FROM pages WHERE page_id % 25 = 0 UNION SELECT city, dst, dist + 1 FROM walk JOIN edges ON src = node WHERE dist < 2),
+    f"""WITH RECURSIVE {V.EDGES}, walk AS (SELECT page_id AS city, CAST(page_id AS VARCHAR) AS node, 0 AS dist FROM pages WHERE page_id % 20 = 0 UNION SELECT city, dst, dist + 1 FROM walk JOIN edges ON src = node WHERE dist < 2),
 best AS (SELECT city, node, min(dist) AS distance FROM walk GROUP BY city, node)
 SELECT b.city, b.node, CAST(b.distance AS INT) AS distance, (SELECT min(src) FROM edges JOIN best p ON p.node = src AND p.city = b.city AND p.distance = b.distance - 1 WHERE dst = b.node) AS parent FROM best b"""
 )
 def link_bfs(spark: SparkSession, d: str) -> DataFrame:
-    """GRF-2, JOI-14."""
-    seeds = V.table(spark, d, "pages").select(F.col("page_id").alias("city"), F.col("page_id").cast("string").alias("node"))
+    """GRF-2, JOI-14: searches from the stated query set, every page whose id is divisible by 20, over all pages."""
+    seeds = V.table(spark, d, "pages").filter("page_id % 20 = 0").select(F.col("page_id").alias("city"), F.col("page_id").cast("string").alias("node"))
     return graph.bfs(V.page_edges(spark, d), seeds, 2, ("city",))
 
 
@@ -564,16 +605,35 @@ def metadata_merge(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.merge_metadata(c, "conv_id", "turn", ["question", "answer"], ["role"]).select("conv_id", "question", "answer", F.array_join("role", ",").alias("roles"))
 
 
+# The ordered cleanup, for RE2, whose white space lacks the vertical tab.
+_STEPS = (
+    (r"(?is)<!--.*?-->", ""),
+    (r"(?im)^\s*(?:(?:\d+(?:\.\d+)?px|x\d+(?:\.\d+)?px)\s*\|\s*)?(?:thumb|right|left|center|frame|frameless|border|upright(?:\s*=\s*[^|\n]+)?)(?:\|.*)?\s*$", ""),
+    (r"(?im)^\s*(?:\d+(?:\.\d+)?px|x\d+(?:\.\d+)?px)\s*\|.*$", ""),
+    (r"(?is)<ref\b[^>]*>.*?</ref\s*>", ""),
+    (r"(?i)<ref\b[^>]*/\s*>", ""),
+    (r"<[^>]+>", ""),
+    (r"(?is)\{\{.*?\}\}", ""),
+    (r"\[\[([^\]|]+)\|([^\]]+)\]\]", r"\2"),
+    (r"\[\[([^\]]+)\]\]", r"\1"),
+    (r"\[https?://[^\s\]]+\s+([^\]]+)\]", r"\1"),
+    (r"'{2,5}", ""),
+    (r"(?m)^\s*[|!][^\n]*$", ""),
+    (r"(?m)^\s*\{\|.*$|^\s*\|\}.*$", ""),
+    (r"(?m)^\s*={2,6}\s*(.*?)\s*={2,6}\s*$", r"\1"),
+    (r"(?m)^\s*[*#;:]\s*", ""),
+    (r"[ \t]+", " "),
+)
+_EDGES = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+
+
 def _clean_sql(c: str) -> str:
     out = f"coalesce({c}, '')"
-    for pattern, to in text.CLEANUP:
-        p = pattern.replace("(?dim)", "(?im)").replace("(?dm)", "(?m)").replace("'", "''")
-        out = f"regexp_replace({out}, '{p}', '{to.replace('$', chr(92))}', 'g')"
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")):
+    for pattern, to in _STEPS:
+        out = "regexp_replace({}, '{}', '{}', 'g')".format(out, pattern.replace("'", "''"), to)
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         out = f"replace({out}, '{a}', '{b}')"
-    return rf"regexp_replace(regexp_replace({out}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
-
-
+    return rf"regexp_replace(regexp_replace({out}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^{_EDGES}+|{_EDGES}+$', '', 'g')"
 
 
 @query(f"SELECT page_id, length({_clean_sql('html')}) AS n, md5({_clean_sql('html')}) AS digest FROM pages")
@@ -650,14 +710,20 @@ def duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
 @query(_ART + " SELECT CAST(count(*) AS BIGINT) AS n_rows, 'articles' AS table_name, '1' AS version FROM articles UNION ALL SELECT count(*), 'vectors', '1' FROM embeddings")
 def build_manifest(spark: SparkSession, d: str) -> DataFrame:
     """SNK-9, SNK-10."""
-    return E.manifest({"articles": V.articles(spark, d), "vectors": V.vectors(spark, d)})
+    return B.manifest({"articles": V.articles(spark, d), "vectors": V.vectors(spark, d)})
+
+
+_SHOWN = """SELECT doc_id AS page_id, 't' AS title, CASE WHEN doc_id % 11 <> 0 THEN CAST(doc_id % 101 AS DOUBLE) ELSE 0.0 END AS score, CASE WHEN doc_id % 13 = 0 THEN CAST(doc_id AS DOUBLE) END AS distance_km
+  FROM (SELECT doc_id FROM documents WHERE doc_id % 13 = 0 UNION ALL SELECT doc_id FROM (SELECT doc_id FROM documents WHERE doc_id % 13 <> 0 ORDER BY CASE WHEN doc_id % 11 <> 0 THEN doc_id % 101 END DESC NULLS LAST, doc_id LIMIT 30))"""
 
 
-@query()
+@query(f"WITH shown AS ({_SHOWN}) SELECT CAST(row_number() OVER (ORDER BY score DESC, page_id) AS INT) AS place, page_id, score, distance_km, (SELECT CAST(count(*) AS BIGINT) FROM documents) AS found FROM shown")
 def cache_payload(spark: SparkSession, d: str) -> DataFrame:
-    """TXT-18, API-8: JSON of a result; key order is Spark's."""
-    a = _final(spark, d).withColumns({"title": F.lit("t"), "result_source": F.lit("bm25"), "match_reason": F.lit("m")})
-    return E.payload(ranking.finalize(a, 30))
+    """TXT-18, API-1, API-8, PRJ-3: a response written as JSON and read back."""
+    a = _final(spark, d).withColumns({"title": F.lit("t"), "first_paragraph": F.lit("p"), "entity_class": F.lit(None).cast("string"), "country": F.lit(""), "lat": F.lit(float("nan")), "lon": F.lit(None).cast("double"), "result_source": F.lit("bm25"), "match_reason": F.lit("m")})
+    one = api.response(api.Location("x", 0.0, 0.0), api.cards(ranking.finalize(a, 30)), ranking.stats(a))
+    back = api.parsed(one).select(F.posexplode("connected").alias("i", "c"), "counts")
+    return back.select((F.col("i") + 1).alias("place"), "c.page_id", "c.score", "c.distance_km", F.col("counts.connected").alias("found"))
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

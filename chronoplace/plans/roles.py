@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoplace.operators.postings import TextIndex
+from chronoplace.shared import exists, version
+
 PLACE, CITY, WORDS = "that, with", "that", ["that", "with"]
+#: A place whose words tell pages apart, for whole searches.
+RARE_PLACE, RARE_WORDS = "thing, and", ["thing", "and"]
 LAT, LON, RADIUS = 12.5, 30.25, 480.0
 
 
@@ -75,6 +80,18 @@ MEMBERSHIP = """membership AS (
 )"""
 
 
+_INDEXES: dict[tuple[str, str], TextIndex] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The written index of the articles; built again when their files change."""
+    source = articles(spark, sf_dir)
+    key = spark.sparkContext.applicationId, version(source)
+    if key not in _INDEXES or not exists(spark, _INDEXES[key].path):
+        _INDEXES[key] = TextIndex.build(source)
+    return _INDEXES[key]
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("page_id"), "embedding")
 
@@ -118,8 +135,7 @@ def page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EDGES = """edges AS (
-  SELECT DISTINCT src, dst FROM (SELECT page_id AS src, CAST(length(word) * 7 % 50 AS BIGINT) AS dst
-    FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="/([^"]+)"', 1)) AS word FROM pages)) WHERE src <> dst
+  SELECT DISTINCT src, dst FROM (SELECT CAST(page_id AS VARCHAR) AS page, unnest(regexp_extract_all(html, 'href="(/[^"]+)"', 1)) AS word FROM pages), LATERAL (VALUES (page, word), (word, page)) AS pair(src, dst)
 )"""
 
 

@@ -1,18 +1,18 @@
-"""Record shapes (PRJ-6, survey 1.4)."""
+"""Record shapes (PRJ-6, survey 1.4). Column names, and the order of kinds of dates."""
 
 from __future__ import annotations
 
-ARTICLES = "page_id long, title string, first_paragraph string, full_text string, is_redirect boolean, redirect_target string"
-MEMBERSHIP = "page_id long, title string, category string, hop int"
+MEMBERSHIP = "page_id long, category string, hop int"
 DATES = ("point_in_time", "start_time", "birth_date", "inception", "end_time", "death_date", "dissolved")
-METADATA = (
-    "page_id long, title string, wikidata_id string, lat double, lon double, birth_date string, death_date string, inception string, dissolved string, "
-    "start_time string, end_time string, point_in_time string, instance_of array<string>, occupation string, country string, citizenship string, location string"
-)
 CITIES = (
-    "geoname_id long, name string, canonical_query string, latitude double, longitude double, country_code string, country_name string, "
-    "admin1_code string, admin1_name string, population long, embedding_row int"
+    "geoname_id long, name string, latitude double, longitude double, country_code string, country_name string, admin1_code string, admin1_name string, "
+    "population long, alternate_names array<string>"
+)
+CACHE = "geoname_id long, version string, payload string"
+CARD = (
+    "page_id bigint, title string, first_paragraph string, entity_class string, year bigint, country string, latitude double, longitude double, "
+    "distance_km double, score double, source string, match_reason string"
 )
-ALIASES = "normalized_alias string, geoname_id long"
-CITY_GRAPH = "geoname_id long, seed_page_id long, article_page_id long, graph_distance int, parent_page_id long, seed_title string, article_title string, parent_title string"
-CARD = ("page_id", "title", "lead", "lat", "lon", "year", "entity_class", "distance_km", "score", "result_source", "match_reason", "country")
+LOCATION = "label string, latitude double, longitude double"
+_as_type = lambda columns: "struct<" + columns.replace(", ", ",").replace(" ", ":") + ">"
+RESPONSE = f"struct<query:{_as_type(LOCATION)},mapped:array<{_as_type(CARD)}>,connected:array<{_as_type(CARD)}>,counts:struct<mapped:bigint,connected:bigint>>"

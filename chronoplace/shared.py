@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import hashlib
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -35,18 +37,36 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/chronoplace/{what}-{uuid.uuid4().hex}"
 
 
+_LOCK, _HELD = threading.Lock(), {}
+
+
 @contextlib.contextmanager
 def cleaning(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
-    """For a write inside: the job's shuffle files go with it, and it is dealt into so many partitions if asked to."""
-    wanted = {_CLEANUP: "true"} | ({_PARTITIONS: str(partitions)} if partitions else {})
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
+    """For writes inside: a job's shuffle files go with it, and it is dealt into so many partitions if asked to.
+
+    Writes of several threads may overlap; the last to end gives the setting its old value.
+    """
+    key = id(spark._jsparkSession)
+    with _LOCK:
+        n, before = _HELD.get(key, (0, spark.conf.get(_CLEANUP, None)))
+        _HELD[key] = n + 1, before
+        spark.conf.set(_CLEANUP, "true")
+    dealt = spark.conf.get(_PARTITIONS) if partitions else None
+    if partitions:
+        spark.conf.set(_PARTITIONS, str(partitions))
     try:
         yield
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+        if dealt:
+            spark.conf.set(_PARTITIONS, dealt)
+        with _LOCK:
+            n, before = _HELD.pop(key)
+            if n > 1:
+                _HELD[key] = n - 1, before
+            elif before is None:
+                spark.conf.unset(_CLEANUP)
+            else:
+                spark.conf.set(_CLEANUP, before)
 
 
 def materialise(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
@@ -72,3 +92,24 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def filesystem(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path in its terms."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = filesystem(spark, path)
+    return fs.exists(at)
+
+
+def version(df: DataFrame) -> str:
+    """Names the state of the files that df reads: it changes when one is added, removed or written again."""
+    parts = []
+    for file in sorted(df.inputFiles()):
+        fs, at = filesystem(df.sparkSession, file)
+        status = fs.getFileStatus(at)
+        parts.append(f"{file} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()
