@@ -31,7 +31,7 @@ from __future__ import annotations
 import base64
 import sys
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,6 +136,10 @@ class Vocabulary:
             cache["encoding", self.path] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={v: k for k, v in self.tokens.items()}, special_tokens={})
         return cache["encoding", self.path]
 
+    def piece(self) -> Callable[[bytes], list[int]]:
+        """Ids of one pre-token."""
+        return self.encoding()._core_bpe.encode_single_piece
+
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         cache = worker_cache()
         if ("table", self.path) not in cache:
@@ -189,7 +193,7 @@ class _Block:
 
     def __init__(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.times: list[int] = []
+        self.times = np.zeros(0, np.int64)
         #: Of each chunk, each token's index into the list.
         self.parts: list[np.ndarray] = []
         self.ids: list = []
@@ -200,13 +204,15 @@ class _Block:
         starts, ends, counts = splitter.split(chunk)
         if len(starts):
             _, first, times, index = distinct(chunk.data, starts, ends)
-            raw, place = chunk.data.tobytes(), np.empty(len(first), np.int32)
-            for i, (s, e, n) in enumerate(zip(starts[first].tolist(), ends[first].tolist(), times.tolist(), strict=True)):
-                place[i] = k = self.place.setdefault(raw[s:e], len(self.place))
-                if k == len(self.times):
-                    self.times.append(n)
-                else:
-                    self.times[k] += n
+            raw = chunk.data.tobytes()
+            words = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+            found = list(map(self.place.get, words))
+            for i in [i for i, x in enumerate(found) if x is None]:
+                found[i] = self.place[words[i]] = len(self.place)
+            if len(self.place) > len(self.times):
+                self.times = np.concatenate([self.times, np.zeros(len(self.place), np.int64)])
+            place = np.array(found, np.int32)
+            self.times[place] += times
             self.parts.append(place[index])
         self.ids += ids
         self.counts.append(counts)
@@ -215,7 +221,7 @@ class _Block:
     def distinct(self) -> tuple[np.ndarray, list[bytes]]:
         """Each token's index into the distinct pre-tokens, and those, commonest first and equals in byte order (which
         compresses best)."""
-        words, times = list(self.place), self.times
+        words, times = list(self.place), self.times.tolist()
         order = sorted(range(len(words)), key=lambda i: (-times[i], words[i]))
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
@@ -265,7 +271,7 @@ def _encode(words: DataFrame, vocabulary: Vocabulary, n_buckets: int) -> DataFra
     """block, bucket, and for each word of the list the number of its ids and the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = vocabulary.encoding()._encode_single_piece
+        piece = vocabulary.piece()
         bucket, known = None, {}
         for batch in batches:
             out = []

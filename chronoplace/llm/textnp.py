@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 20
 #: Ranges of more bytes than this are hashed one by one.
 LONG = 256
 

@@ -33,8 +33,10 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +58,7 @@ ROUNDS = 4
 #: Steps of a walk that isn't over after the usual number; the chance that one is longer is nil.
 LONG_WALK = 1 << 12
 #: Distinct pre-tokens that a worker remembers at most; beyond, it starts anew.
-KNOWN = 1 << 17
+KNOWN = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -103,22 +105,22 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         raise ValueError("ids don't fit into 16 bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, known, end = vocabulary.encoding()._encode_single_piece, {}, np.array([END], "<u2").tobytes()
+        # an unsigned 16-bit array; Spark runs on little-endian machines, and shards are little-endian
+        piece, known, pack = vocabulary.piece(), {}, partial(array, "H")
+        end = pack([END]).tobytes()
         for batch in batches:
             for chunk in map(valid, chunks(batch.column(2))):
                 starts, ends, counts = splitter.split(chunk)
                 if not len(starts):
                     continue
                 _, first, _, inverse = distinct(chunk.data, starts, ends)
-                raw, lists = chunk.data.tobytes(), []
+                raw = chunk.data.tobytes()
                 if len(known) > KNOWN:
                     known = {}
-                for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True):
-                    word = raw[s:e]
-                    got = known.get(word)
-                    if got is None:
-                        got = known[word] = np.array(piece(word), "<u2").tobytes()
-                    lists.append(got)
+                words = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+                lists = list(map(known.get, words))
+                for i in [i for i, x in enumerate(lists) if x is None]:
+                    lists[i] = known[words[i]] = pack(piece(words[i])).tobytes()
                 sizes = np.array([len(x) for x in lists]) // 2
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 flat = np.frombuffer(b"".join(lists), "<u2")

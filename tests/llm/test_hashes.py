@@ -109,7 +109,7 @@ def test_pre_tokens_stay_apart_in_records(spark):
 def test_very_long_and_tiny_chunks(spark, monkeypatch):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(40_000)]
-    long = " ".join(words[i] for i in rng.integers(0, 40_000, 110_000))
+    long = " ".join(words[i] for i in rng.integers(0, 40_000, 200_000))
     assert len(long) > textnp.CHUNK_BYTES
     middle = " ".join(long.split()[5000:5080])
     small = [(0, "a b"), (2, middle + " z"), (3, None), (4, ""), (5, "one  two\n\nthree " * 30)]
