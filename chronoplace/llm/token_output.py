@@ -55,6 +55,9 @@ PAD, END = 0xFFFF, 0xFFFE
 #: Documents in a block, about, and the most blocks there are: beyond, blocks grow.
 PER_BLOCK, MAX_BLOCKS = 4096, 1 << 16
 ROUNDS = 4
+#: Rounds in which shards are written: what is shuffled at once is that part of the records, beside the packed ones and the
+#: shards that stand already.
+WAVES = 2
 #: Steps of a walk that isn't over after the usual number; the chance that one is longer is nil.
 LONG_WALK = 1 << 12
 #: Distinct pre-tokens that a worker remembers at most; beyond, it starts anew.
@@ -250,11 +253,20 @@ def materialise_order(docs: DataFrame, path: str, key: str = "order", stride: in
     numbered = packed.join(F.broadcast(offsets), "block").withColumn("number", F.col("from") + F.col("place"))
     slotted = Permutation(n, key).slots(numbered, "number").select("slot", "doc_ids", "starts", "n_tokens", "packed")
     n_shards = max(1, -(-n // per_shard))
-    parts = min(n_shards, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    # whole shards to a task, neighbours together
-    dealt = slotted.repartitionById(parts, (F.floor(F.col("slot") / per_shard) * parts / n_shards).cast("int"))
     out = out or fresh_path(spark, "shards")
-    written = materialise(_write_shards(dealt.sortWithinPartitions("slot"), out, stride, per_shard), "shard-rows")
+    waves = [(k * n_shards // WAVES, (k + 1) * n_shards // WAVES) for k in range(WAVES)]
+    rows = []
+    for first, last in waves:
+        if first == last:
+            continue
+        parts = min(last - first, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        mine = slotted.filter((F.col("slot") >= first * per_shard) & (F.col("slot") < last * per_shard))
+        # whole shards to a task, neighbours together
+        dealt = mine.repartitionById(parts, ((F.floor(F.col("slot") / per_shard) - first) * parts / (last - first)).cast("int"))
+        rows.append(materialise(_write_shards(dealt.sortWithinPartitions("slot"), out, stride, per_shard), "shard-rows"))
+    written = rows[0]
+    for more in rows[1:]:
+        written = written.unionByName(more)
     drop(packed)
     return written, out
 
