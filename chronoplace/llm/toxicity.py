@@ -39,6 +39,8 @@ TRAIN_ROWS = 20_000
 FEATURES = 8192
 SLICES = 64
 THRESHOLD = 0.3
+#: Least chi-squared of a feature that is kept: one in ten thousand reaches it by chance, some 26 of all buckets.
+CHANCE, RIDGE = 15.0, 3.0
 
 
 def held_out() -> Column:
@@ -129,7 +131,7 @@ def _class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([parts[0]["n0"], parts[0]["n1"]], float), seen.astype(float)
 
 
-def fit(counts: np.ndarray, cols: np.ndarray, ratio: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 300, rate: float = 0.1, block: int = 1 << 20) -> tuple[float, np.ndarray]:
+def fit(counts: np.ndarray, cols: np.ndarray, ratio: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 300, rate: float = 0.1, block: int = 1 << 20) -> tuple[float, np.ndarray]:
     """Logistic regression with an L2 penalty, by full-batch Adam; deterministic.
 
     Row i has the features of counts[i] entries of cols, each with its feature's ratio as value. Rows are gone
@@ -169,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     expected = both * n[1] / n.sum()
     chi = np.where(both >= 3, (seen[1] - expected) ** 2 / np.maximum(expected * (1 - both / n.sum()), 1e-9), 0)
     top = np.argsort(-chi, kind="stable")[:FEATURES]
-    top = np.sort(top[chi[top] > 6.6])  # a hundredth by chance
+    top = np.sort(top[chi[top] > CHANCE])
     if not len(top):
         return Model(float(np.log(n[1] / n[0])), np.zeros(1 << BITS))
     wanted = np.zeros(1 << BITS, bool)
