@@ -14,6 +14,10 @@ def cut(df: DataFrame) -> DataFrame:
     return materialise(df, "cut")
 
 
+#: Nodes of a frontier that may be broadcast.
+SHORT = 50_000
+
+
 def bfs(edges: DataFrame, seeds: DataFrame, hops: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """C5: (keys, node, distance, parent) of the nodes reached from seeds(keys, node) in at most `hops` steps.
 
@@ -26,10 +30,12 @@ def bfs(edges: DataFrame, seeds: DataFrame, hops: int, keys: tuple[str, ...] = (
     level = cut(seeds.select(*by).distinct().withColumn("distance", F.lit(0)).withColumn("parent", F.lit(None).cast(seeds.schema["node"].dataType)))
     seen = level
     for hop in range(1, hops + 1):
-        step = level.withColumnRenamed("node", "src").join(edges, "src").groupBy(*keys, F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        near = level.withColumnRenamed("node", "src")
+        # a short frontier is sent to the edges instead of shuffling them
+        step = edges.join(F.broadcast(near) if near.count() <= SHORT else near, "src").groupBy(*keys, F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
         fresh = step.join(seen.select(*by), by, "left_anti").select(*by, F.lit(hop).alias("distance"), "parent")
         level = cut(fresh)
-        if level.isEmpty():
+        if hop < hops and level.isEmpty():
             break
         seen = seen.unionByName(level)
     return seen

@@ -115,14 +115,15 @@ def fuse(rankings: Mapping[str, DataFrame], weights: Mapping[str, float] | None
 ALONE = 20_000
 
 
-def ranked(df: DataFrame, *order: Column | str) -> DataFrame:
+def ranked(df: DataFrame, *order: Column | str, n: int | None = None) -> DataFrame:
     """SRT-2, RNK-1: page_id and rank 1 to n in an order that ends in page_id.
 
     Rows are dealt into ranges of the order; a row's rank is its place in its range and the sizes of the ranges before
-    (one row for each range). A list that is known to be short is numbered by one task instead.
+    (one row for each range). A list that is known to be short is numbered by one task instead; n is its length, where
+    it is known.
     """
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
-    if df.count() <= ALONE:
+    if (df.count() if n is None else n) <= ALONE:
         return df.select("page_id", F.row_number().over(Window.orderBy(*keys, "page_id")).alias("rank"))
     # written, so that both readers below see the same ranges
     dealt = materialise(df.repartitionByRange(*keys, "page_id").withColumn("__range", F.spark_partition_id()), "ranges")

@@ -284,3 +284,28 @@ def catalogue(b: Build) -> DataFrame:
     """SNK-10: what stands in a build's folder."""
     names = [n for s in STEPS for n in s.makes if n not in ("text_index", "citation_index") and exists(b.spark, b.at(n))]
     return manifest({n: b.table(n) for n in names})
+
+
+def main(args: list[str] | None = None) -> dict[str, int]:
+    """API-9: python -m chronoplace.plans.build ROOT [STEP ...], with a flag for each setting of a build."""
+    import argparse
+
+    from chronoplace.session import session
+
+    parser = argparse.ArgumentParser(description="Runs steps of the offline build, in their order: " + ", ".join(s.name for s in STEPS))
+    parser.add_argument("root")
+    parser.add_argument("steps", nargs="*", metavar="step", choices=[[], *(s.name for s in STEPS)])
+    parser.add_argument("--seed", default="History")
+    parser.add_argument("--hops", type=int, default=4)
+    parser.add_argument("--least-population", type=int, default=15000, choices=metadata.TIERS)
+    parser.add_argument("--link-hops", type=int, default=1)
+    given = parser.parse_args(args)
+    b = Build(session(), given.root, seed=given.seed, hops=given.hops, least_population=given.least_population, link_hops=given.link_hops)
+    rows = b.run(*given.steps)
+    for name, n in rows.items():
+        print(f"{name}: {n} rows")
+    return rows
+
+
+if __name__ == "__main__":
+    main()

@@ -123,24 +123,24 @@ class Engine:
         rows = cut(R.features(rows, population, self.settings.importance_weight, self.settings.importance_population))
 
         # coordinates outside the radius leave every branch; those inside are mapped and not ranked
-        far = rows.filter("distance_km is null and lat is null")
-        branches = {
-            "coordinates": rows.filter("distance_km is not null"),
-            "bm25": far.filter(F.col("has_text") & (F.col("bm25_score") >= least)),
-            "dense": far.filter("dense_score is not null"),
-            "category": far.filter("category_score > 0"),
-            "graph": far.filter("graph_score is not null"),
+        far, has = F.expr("distance_km is null and lat is null"), {}
+        has["bm25"] = far & F.col("has_text") & (F.col("bm25_score") >= least)
+        has["dense"] = far & F.col("dense_score").isNotNull()
+        has["category"] = far & (F.col("category_score") > 0)
+        has["graph"] = far & F.col("graph_score").isNotNull()
+        branches = {"coordinates": rows.filter("distance_km is not null")} | {name: rows.filter(rule) for name, rule in has.items()}
+        lists = {
+            "bm25_strict": (has["bm25"] & (F.col("query_match_tier") == 2), F.desc("bm25_score")),
+            "bm25_relaxed": (has["bm25"] & (F.col("query_match_tier") == 1), F.desc("bm25_score")),
+            "kalm": (has["dense"], F.desc("dense_score")),
+            "category": (has["category"], F.desc("category_score"), F.desc("quality_score")),
+            "graph": (has["graph"], F.desc("graph_score"), F.asc("graph_distance")),
         }
-        bm25 = branches["bm25"]
-        rankings = {
-            "bm25_strict": (bm25.filter("query_match_tier = 2"), F.desc("bm25_score")),
-            "bm25_relaxed": (bm25.filter("query_match_tier = 1"), F.desc("bm25_score")),
-            "kalm": (branches["dense"], F.desc("dense_score")),
-            "category": (branches["category"], F.desc("category_score"), F.desc("quality_score")),
-            "graph": (branches["graph"], F.desc("graph_score"), F.asc("graph_distance")),
-        }
-        with ThreadPoolExecutor(len(rankings)) as pool:
-            ranks = dict(zip(rankings, pool.map(lambda r: R.ranked(*r), rankings.values()), strict=True))
+        # the lengths of all lists in one aggregate
+        sizes = rows.agg(*(F.count_if(rule).alias(name) for name, (rule, *_) in lists.items())).first()
+        ranks = {name: R.ranked(rows.filter(rule), *order, n=sizes[name]) for name, (rule, *order) in lists.items() if sizes[name]}
+        if not ranks:
+            ranks = {"bm25_strict": rows.select("page_id", F.lit(1).alias("rank")).limit(0)}
         found = R.combine(branches).join(R.fuse(ranks, rrf_weights), "page_id", "left")
         found = found.withColumn("score", R.score(found, radius, score_weights)).withColumn("match_reason", Q.match_reason())
         if scorer is not None:

@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Python workers hold a batch of texts at a time
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 

@@ -212,3 +212,26 @@ def test_gazetteer_tiers_and_roots(spark, tmp_path, monkeypatch):
     assert build.data_root([str(tmp_path)], "CP_TEST") == "/set"
     monkeypatch.setenv("CHRONOPLACE_LINKED_ENOUGH", "7")
     assert Settings.from_env().linked_enough == 7 and Settings.from_env().bm25_least == 1.0
+
+
+def test_checksums_of_dumps(spark, made, tmp_path):
+    import hashlib
+
+    from chronoplace.sources import dumps
+
+    b, _ = made
+    files = [b.at(f"dumps/{name}") for name in ("page.sql.gz", "pages.xml")]
+    wanted = {f: hashlib.sha1(open(f, "rb").read()).hexdigest() for f in files}
+    got = {r.path: (r.n_bytes, r.digest) for r in dumps.verify(spark, wanted).collect()}
+    assert {k: v[1] for k, v in got.items()} == wanted and all(n > 0 for n, _ in got.values())
+    with pytest.raises(ValueError, match="pages.xml"):
+        dumps.verify(spark, {**wanted, files[1]: "0" * 40})
+    assert {r.digest for r in dumps.checksums(spark, files[:1], "sha256").collect()} == {hashlib.sha256(open(files[0], "rb").read()).hexdigest()}
+
+
+def test_steps_from_the_command_line(made, tmp_path, capsys):
+    write_dumps(tmp_path)
+    assert build.main([str(tmp_path), "gazetteer", "--least-population", "500"]) == {"cities": 3, "aliases": build.main([str(tmp_path), "gazetteer", "--least-population", "500"])["aliases"]}
+    assert "cities: 3 rows" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        build.main([str(tmp_path), "nothing"])
