@@ -223,12 +223,14 @@ def _partners(entries: DataFrame) -> DataFrame:
     shares = entries.groupBy("node").agg(F.count("*").alias("c"), F.max("n").alias("n"))
     # the share in thousandths above, the node's low bits below, so that ties have one order
     rank = F.shiftleft(F.floor(F.col("c") * 1000 / _taken(F.col("n"))), 50).bitwiseOR(F.col("node").bitwiseAND(F.lit((1 << 50) - 1)))
-    ranked = entries.select("token", "node", "n").join(shares.select("node", rank.alias("rank")), "node")
-    hubs = ranked.groupBy("token").agg(F.max_by(F.struct("node", "n"), "rank").alias("hub")).select("token", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m"))
-    met = entries.join(hubs, "token").filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("m").alias("m"))
+    ranked = entries.select("token", "node", "n", "pos").join(shares.select("node", rank.alias("rank")), "node")
+    hubs = ranked.groupBy("token").agg(F.max_by(F.struct("node", "n", "pos"), "rank").alias("hub"))
+    hubs = hubs.select("token", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m"), F.col("hub.pos").alias("q"))
+    met = entries.join(hubs, "token").filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("c"), *(F.max(x).alias(x) for x in ("n", "m", "pos", "q")))
     # Of two sets' first shingles, those of the one whose last comes first in the order are either shared or missing from
-    # the other: so many at most are left to share. A link that is missed here is met again in the product.
-    most = F.greatest(F.col("n") - _taken(F.col("n")), F.col("m") - _taken(F.col("m"))) + F.col("c")
+    # the other; and before the last that is shared, what isn't shared is missing from either. So many at most are left to
+    # share. A link that is missed here, for sharing shingles in columns with another centre, is met again in the product.
+    most = F.least(F.greatest(F.col("n") - _taken(F.col("n")), F.col("m") - _taken(F.col("m"))), F.col("n") - F.col("pos") - 1, F.col("m") - F.col("q") - 1) + F.col("c")
     best = met.filter(PAIR[0] * most >= PAIR[1] * (F.col("n") + F.col("m"))).groupBy("node").agg(F.max(F.struct("c", "hub")).alias("best"))
     return best.select(F.col("best.hub").alias("a"), F.col("node").alias("b"))
 
