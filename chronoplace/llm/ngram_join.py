@@ -53,6 +53,8 @@ SLICES = 64
 HOT = 64
 #: Rows of a key list that may be broadcast (8 MB at most); longer ones are joined by a shuffle.
 FEW = 200_000
+#: Rows from which a component counts as large.
+LARGE = 500
 # 100 * overlap >= 75 * union, as overlap * 7 >= 3 * (n_a + n_b)
 SHARE, PAIR = (75, 100), (7, 3)
 
@@ -325,8 +327,16 @@ def _least(placed: DataFrame) -> DataFrame:
         ties = own.join(twice.select("doc_id", "b"), "doc_id").filter("component != b").select(F.col("component").alias("a"), "b")
         joined = components(ties).select(F.col("node").alias("component"), F.col("component").alias("whole"))
         placed = placed.join(joined, "component", "left").withColumn("component", F.coalesce("whole", "component"))
-    least = placed.filter("doc_id is not null and component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = placed.join(least, "component", "left")
+    least = placed.filter("doc_id is not null and component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size"))
+    least = materialise(least, "least")
+    # large components are few: their rows stay where they are, and only the others are dealt by component
+    large = least.filter(F.col("size") > LARGE).select("component", "component_id")
+    if 0 < large.count() <= FEW:
+        many = placed.join(F.broadcast(large), "component")
+        rest = placed.join(F.broadcast(large.select(F.col("component").alias("c"))), F.col("component") == F.col("c"), "left_anti")
+        out = rest.join(least.select("component", "component_id"), "component", "left").unionByName(many)
+    else:
+        out = placed.join(least.select("component", "component_id"), "component", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 

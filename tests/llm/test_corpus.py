@@ -258,7 +258,7 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def test_ngram_join(docs, rows, empty, spark):
+def test_ngram_join(docs, rows, empty, spark, monkeypatch):
     rng = random.Random(3)
     base = [f"b{i}" for i in range(120)]
     near = [(1000 + j, " ".join(f"x{j}_{i}" if rng.random() < 0.02 else b for i, b in enumerate(base))) for j in range(40)]
@@ -279,6 +279,10 @@ def test_ngram_join(docs, rows, empty, spark):
     expected = [(i, len(s), None if i is None else root(i)) for i, s in sets]
     got = ngram_join.join(spark.createDataFrame(table, "doc_id long, text string"))
     same(got.collect(), expected)
+    monkeypatch.setattr(ngram_join, "LARGE", 2)  # components that are joined apart
+    same(ngram_join.join(spark.createDataFrame(table, "doc_id long, text string")).collect(), expected)
+    monkeypatch.setattr(ngram_join, "FEW", 0)  # nothing is broadcast
+    same(ngram_join.join(spark.createDataFrame(table, "doc_id long, text string")).collect(), expected)
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
