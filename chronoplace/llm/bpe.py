@@ -221,13 +221,14 @@ class _Block:
     def distinct(self) -> tuple[np.ndarray, list[bytes]]:
         """Each token's index into the distinct pre-tokens, and those, commonest first and equals in byte order (which
         compresses best)."""
-        words, times = list(self.place), self.times.tolist()
-        order = sorted(range(len(words)), key=lambda i: (-times[i], words[i]))
+        words = list(self.place)
+        by_bytes = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        order = by_bytes[np.argsort(-self.times[: len(words)][by_bytes], kind="stable")]
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
         parts, self.parts = self.parts, []
         sequence = np.concatenate([place[p] for p in parts]) if parts else np.zeros(0, np.uint32)
-        return sequence, [words[i] for i in order]
+        return sequence, [words[i] for i in order.tolist()]
 
     def rows(self, block: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
         sequence, words = self.distinct()
