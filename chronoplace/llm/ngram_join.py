@@ -350,6 +350,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = docs.join(_few(found.filter("doc_id != component_id").select("doc_id").distinct()), "doc_id", "left_anti")
     if not twice.isEmpty():
         by = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), "text")
-        marked = kept.filter("doc_id is not null").withColumn("__row", F.row_number().over(by)).filter("__row = 1").drop("__row")
-        kept = marked.unionByName(kept.filter("doc_id is null"))
+        # the row is set aside, so that no column of the input meets one made here
+        marked = kept.filter("doc_id is not null").select(F.struct("*").alias("row"), "doc_id", "text").select("row", F.row_number().over(by).alias("place"))
+        kept = marked.filter("place = 1").select("row.*").unionByName(kept.filter("doc_id is null"))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
