@@ -41,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoplace.llm.textnp import NON_SPACE, SECOND, Words, chunks, covered, runs, strings, sums
@@ -249,6 +249,14 @@ def _windows(joined: DataFrame, window: int, gram: int) -> DataFrame:
     return joined.mapInArrow(run, "anchor long, digest long, doc_id long, text_key long, at long, prints array<long>")
 
 
+def _by_print(prints: Column) -> Column:
+    """(print, offsets) of each distinct window of a stretch: text that repeats itself gives a row, not one for each place."""
+    plain = F.transform(prints, lambda p, i: F.struct(p.alias("print"), F.array(i).alias("offsets")))
+    places = lambda p: F.filter(F.transform(prints, lambda x, i: F.when(x == p, i)), lambda i: i.isNotNull())
+    few = F.transform(F.array_distinct(prints), lambda p: F.struct(p.alias("print"), places(p).alias("offsets")))
+    return F.when(F.size(F.array_distinct(prints)) == F.size(prints), plain).otherwise(few)
+
+
 def _spans(stretches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, the working table that they read); rows: doc_id, text_key, at, n: windows [at, at + n) of a document that also start in one with a smaller doc_id."""
     key = ["anchor", "digest"]
@@ -256,10 +264,10 @@ def _spans(stretches: DataFrame) -> tuple[DataFrame, DataFrame]:
     mixed = folded.groupBy("anchor").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo != hi")
     mixed = mixed.select("anchor", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     salted = folded.withColumn("salt", F.pmod("digest", F.lit(SALT)).cast("int"))
-    windows = salted.join(mixed, ["anchor", "salt"], "left_semi").select(*key, "least", F.posexplode("prints").alias("offset", "print"))
+    windows = salted.join(mixed, ["anchor", "salt"], "left_semi").select(*key, "least", F.inline(_by_print(F.col("prints"))))
     shared = windows.groupBy("anchor", "print").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).filter("lo < hi").drop("hi")
     later = windows.join(shared, ["anchor", "print"]).filter("least > lo")
-    partly = later.groupBy(*key).agg(F.collect_set("offset").alias("offsets"))
+    partly = later.groupBy(*key).agg(F.flatten(F.collect_list("offsets")).alias("offsets"))
     marks = folded.select(*key, "least").join(partly, key, "left")
     rows = stretches.select(*key, "doc_id", "text_key", "at", F.size("prints").alias("n")).join(marks, key)
     whole = rows.filter("doc_id > least").select("doc_id", "text_key", "at", F.col("n").cast("long").alias("n"))
