@@ -81,6 +81,19 @@ def materialise(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, what: str, key: str, n: int, codec: str = "zstd") -> DataFrame:
+    """As `materialise`, in n buckets of a key: rows are dealt when they are written, so a join on the key needn't shuffle them."""
+    spark = df.sparkSession
+    path = fresh_path(spark, what)
+    name = f"chronoplace_{path.rpartition('-')[2]}"
+    with cleaning(spark):
+        df.select("*").write.bucketBy(n, key).option("path", path).option("compression", codec).saveAsTable(name)
+    out = spark.table(name)
+    out._chronoplace_path = path
+    spark.sql(f"DROP TABLE {name}")  # the name only: files stay, and out has found them
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes what `materialise` wrote for these; nothing may read them afterwards."""
     for df in tables:
