@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoplace.llm.textnp import Chunk, chunks, distinct, tidy, valid
-from chronoplace.shared import materialise
+from chronoplace.shared import bucketed
 
 BLOCK_BYTES = 16 << 20
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -358,7 +358,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     vocabulary = Vocabulary(path)
     n_buckets = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = materialise(_explode(docs, n_buckets), "blocks", "none")
+    # in buckets of blocks: texts' sequences stay where they are, what comes to them are their words' ids
+    blocks = bucketed(_explode(docs, n_buckets), "blocks", "block", max(1, n_buckets // 2), "none")
     coded = _encode(blocks.filter("bucket is not null").select("block", "bucket", "sizes", "words"), vocabulary, n_buckets)
     lists = coded.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "ids")).alias("lists"))
     texts = blocks.filter("bucket is null").select("block", "doc_ids", "counts", "buckets", "sequence")
