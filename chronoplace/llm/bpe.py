@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from chronoplace.llm.textnp import Chunk, chunks, distinct, tidy, valid
 from chronoplace.shared import bucketed
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 OTHER, LETTER, NUMBER, SPACE = range(4)
 # Code points with the Unicode property White_Space.
@@ -254,6 +254,7 @@ def _explode(docs: DataFrame, n_buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        tidy()  # what the worker's last task has left
         number, block = TaskContext.get().partitionId() << 32, _Block()
         for batch in batches:
             for chunk in map(valid, chunks(batch.column(1))):
