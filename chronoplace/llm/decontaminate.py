@@ -28,7 +28,7 @@ aren't UTF-8 count as word characters and pass through unchanged.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,8 @@ WINDOW = 13
 #: A shard closes when so many words have entered its index, or so many bytes of text have been read for it.
 SHARD_SYMBOLS, SHARD_BYTES = 1 << 18, 8 << 20
 BLOCK_WORDS = 1 << 21
+#: Blocks that documents pass through in one go.
+AT_ONCE = 4
 SAMPLE = 8
 
 
@@ -317,11 +319,27 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spans = "array<struct<at:bigint,end:bigint>>"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(spans).alias("spans"), F.array().cast("array<string>").alias("items"), extra.alias("extra"))
     kind = rows.schema["extra"].dataType.simpleString()
-    for k, phrases in enumerate(_blocks(benchmark)):
-        if k and k % 4 == 0:
-            rows = materialise(rows, "decontaminate")
-        rows = rows.mapInArrow(lambda batches, phrases=phrases: _scan(phrases, batches), f"doc_id long, text string, n_words long, spans {spans}, items array<string>, extra {kind}")
-    return rows.mapInArrow(_finish, f"doc_id long, kept_text string, n_words long, n_hit long, spans {spans}, items array<string>, extra {kind}")
+    shape = f"doc_id long, text string, n_words long, spans {spans}, items array<string>, extra {kind}"
+    waiting: list[Phrases] = []
+    for phrases in _blocks(benchmark):
+        if len(waiting) == AT_ONCE:
+            rows = materialise(rows.mapInArrow(_scans(waiting), shape), "decontaminate")
+            waiting = []
+        waiting.append(phrases)
+    scans = _scans(waiting)
+    # scans and merging follow each other in one worker
+    return rows.mapInArrow(lambda batches: _finish(scans(batches)), f"doc_id long, kept_text string, n_words long, n_hit long, spans {spans}, items array<string>, extra {kind}")
+
+
+def _scans(blocks: list[Phrases]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One block's scan after the other's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for phrases in blocks:
+            batches = _scan(phrases, batches)
+        return batches
+
+    return run
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
