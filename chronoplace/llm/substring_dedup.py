@@ -53,6 +53,8 @@ GRAM = 25
 FANOUT = 2
 #: Tasks that the stretches of one anchor are dealt to.
 SALT = 16
+#: Bytes of an Arrow batch of texts: a batch lies in the executor's direct memory, in its stream and in the worker at once.
+BATCH = "2m"
 
 
 def _window_anchors(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +160,7 @@ class FingerprintIndex:
 
     def add(self, batch: DataFrame) -> None:
         """Takes a batch in: its run, its candidates against the history, compaction."""
-        prints = materialise(fingerprints(batch), "prints")
+        prints = materialise(fingerprints(batch), "prints", batch=BATCH)
         rows = prints.select(F.explode("anchors").alias("anchor"), F.col("doc_id").alias("first"), F.col("doc_id").alias("last"))
         history = [self.run(p) for p in self._paths("run")]
         # combined before it is dealt, into as many parts as there are buckets: a task writes whole buckets
@@ -330,7 +332,7 @@ def deduplicate(docs: DataFrame, batches: int = 3, window: int = WINDOW, gram: i
     holders = materialise(index.holders(), "holders")
     index.close(delete=True)
     keys = ["doc_id", "text_key"]
-    stretches = materialise(_windows(known.join(holders, keys).select(*keys, "text", "anchors"), window, gram), "stretches")
+    stretches = materialise(_windows(known.join(holders, keys).select(*keys, "text", "anchors"), window, gram), "stretches", batch=BATCH)
     drop(holders)
     found, folded = _spans(stretches)
     # a set, as rows that are repeated bring the same spans again

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PARTITIONS = "spark.sql.shuffle.partitions"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -69,11 +70,28 @@ def cleaning(spark: SparkSession, partitions: int | None = None) -> Iterator[Non
                 spark.conf.set(_CLEANUP, before)
 
 
-def materialise(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
-    """Cuts lineage: writes df as Parquet in the shared folder and reads it back."""
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, size: str | None) -> Iterator[None]:
+    """For writes inside: Python functions get Arrow batches of about so many bytes, whatever the session's setting (64 MB, if unset)."""
+    if not size:
+        yield
+        return
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH)
+        else:
+            spark.conf.set(_BATCH, before)
+
+
+def materialise(df: DataFrame, what: str, codec: str = "zstd", batch: str | None = None) -> DataFrame:
+    """Cuts lineage: writes df as Parquet in the shared folder and reads it back; batch: as for `batches_of`."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    with cleaning(spark):
+    with cleaning(spark), batches_of(spark, batch):
         # another DataFrame over the same plan, so that its execution takes up the setting
         df.select("*").write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
