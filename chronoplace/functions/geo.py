@@ -40,15 +40,16 @@ def within_radius(df: DataFrame, lat: float, lon: float, radius: float) -> DataF
 def radius_join(queries: DataFrame, df: DataFrame, radius: float, key: str = "query_id") -> DataFrame:
     """JOI-17 for many points: grid cells as the join key, then the exact distance. queries: key, q_lat, q_lon.
 
-    A cell is as high as the radius. A query covers the cells of its box, whose
-    width follows the latitude; longitudes wrap.
+    A cell is as high as the radius, and a whole number of them goes round the
+    earth. A query covers the cells of its box, whose width follows the latitude;
+    longitudes wrap, and a box that reaches a pole has all of them.
     """
     size = max(radius / KM_PER_DEGREE, 0.01)
-    columns = math.ceil(360 / size)
+    columns = max(1, math.floor(360 / size))
     row = lambda c: F.floor((c + 90) / size)
-    column = lambda c: F.floor((c + 180) / size)
-    top = F.least(F.abs(F.col("q_lat")) + size, F.lit(89.9))
-    reach = F.least(F.lit(180.0), radius / (KM_PER_DEGREE * F.cos(F.radians(top))))
+    column = lambda c: F.floor((c + 180) / (360 / columns))
+    top = F.abs(F.col("q_lat")) + size
+    reach = F.when(top < 90, F.least(F.lit(180.0), radius / (KM_PER_DEGREE * F.cos(F.radians(top))))).otherwise(180.0)
     cells = queries.withColumn("__r", F.explode(F.sequence(row(F.col("q_lat") - size), row(F.col("q_lat") + size))))
     cells = cells.withColumn("__c", F.explode(F.array_distinct(F.transform(F.sequence(column(F.col("q_lon") - reach), column(F.col("q_lon") + reach)), lambda c: F.pmod(c, F.lit(columns))))))
     placed = df.filter("lat is not null and lon is not null").withColumn("__r", row(F.col("lat"))).withColumn("__c", F.pmod(column(F.col("lon")), F.lit(columns)))
