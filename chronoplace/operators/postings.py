@@ -2,28 +2,35 @@
 
 The index is written once: a row for each (term, page_id, col) with the term's
 positions and, beside them, what scoring needs of the page (its length, whether it
-is a redirect), and one row of corpus statistics. Rows are dealt into ranges of
-(term, page_id) and sorted, so a query's filter on terms leaves only their row
-groups to be read, and a common term is spread over several files. A phrase is an
-intersection of shifted position lists, so nothing is joined but one row set per
-word. N and the mean length count redirects too; results leave them out.
+is a redirect), and one row of corpus statistics. Each file holds the pages of one
+task, as runs in the order of (term, page_id): nothing is shuffled or spilled, a
+query's filter on terms leaves only the Parquet pages that hold them to be read, and
+a common term is spread over all files. A row without a term holds each page's
+length, for the statistics. A phrase is an intersection of shifted
+position lists, so nothing is joined but one row set per word. N and the mean length
+count redirects too; results leave them out.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoplace.functions.text import parse_place
 from chronoplace.operators.aggregates import first_by
-from chronoplace.shared import cleaning, exists, fresh_path
+from chronoplace.shared import batches_of, cleaning, exists, fresh_path
 
 COLUMNS = ("title", "first_paragraph", "full_text")
 K1, B = 1.2, 0.75
+NAMES = ["term", "page_id", "col", "positions", "n_tokens", "is_redirect"]
 POSTINGS = "term string, page_id long, col string, positions array<int>, n_tokens int, is_redirect boolean"
 
 
@@ -52,21 +59,62 @@ def query_words(text: str) -> list[str]:
     return plain.split()
 
 
-def postings(articles: DataFrame) -> DataFrame:
-    """The rows of an index, not yet written."""
-    cols = [F.struct(F.lit(c).alias("col"), tokens(F.col(c)).alias("words")) for c in COLUMNS]
-    split = articles.select("page_id", "is_redirect", F.array(*cols).alias("cols"))
-    sized = split.withColumn("n_tokens", F.aggregate("cols", F.lit(0), lambda n, c: n + F.size(c["words"])))
-    words = sized.select("page_id", "is_redirect", "n_tokens", F.inline("cols")).select("page_id", "is_redirect", "n_tokens", "col", F.posexplode("words").alias("pos", "term"))
-    # a page has one length and one flag: they are keys here, which is the cheapest way to keep them
-    grouped = words.groupBy("term", "page_id", "col", "n_tokens", "is_redirect").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return grouped.select("term", "page_id", "col", "positions", "n_tokens", "is_redirect")
+#: Tokens that one sorted run of a file holds, about, and rows of it that are handed back at once.
+RUN, BACK = 2_000_000, 100_000
 
 
-def statistics(articles: DataFrame) -> DataFrame:
+def postings(articles: DataFrame) -> DataFrame:
+    """The rows of an index, not yet written: runs of whole pages, each in the order of (term, page_id, col), and a row without a term for each page."""
+    split = articles.select("page_id", "is_redirect", *(tokens(F.col(c)).alias(c) for c in COLUMNS))
+
+    def rows(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages = pa.Table.from_batches(held).combine_chunks()
+        n, lists = len(pages), [pa.concat_arrays(pages.column(c).chunks) for c in COLUMNS]
+        sizes = [pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
+        own, flags, length = pages.column("page_id").combine_chunks(), pages.column("is_redirect").combine_chunks(), pa.array(sum(sizes).astype(np.int32))
+        none = pa.nulls(n, pa.string())
+        yield pa.RecordBatch.from_arrays([none, own, none, pa.nulls(n, pa.list_(pa.int32())), length, flags], NAMES)
+        words = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+        # places of words, pages and columns in the order of the rows; positions stay in order within them
+        alphabet = pc.array_sort_indices(words.dictionary)
+        place = np.empty(len(alphabet), np.int64)
+        place[alphabet.to_numpy(zero_copy_only=False)] = np.arange(len(alphabet))
+        by_page = pc.sort_indices(pages.select(["page_id"]), sort_keys=[("page_id", "ascending")])
+        page_place = np.empty(n, np.int64)
+        page_place[by_page.to_numpy(zero_copy_only=False)] = np.arange(n)
+        key = place[words.indices.to_numpy(zero_copy_only=False)] * (3 * n)
+        key += np.concatenate([np.repeat(page_place * 3 + i, x) for i, x in enumerate(sizes)])
+        at = np.concatenate([np.arange(x.sum()) - np.repeat(np.cumsum(x) - x, x) for x in sizes]).astype(np.int32)
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        ends, key = np.append(first, len(at)), key[first]
+        page = pc.take(by_page, pa.array(key % (3 * n) // 3))
+        terms, names = words.dictionary.take(alphabet), pa.array(COLUMNS)
+        for i in range(0, len(key), BACK):
+            part, page_part = key[i : i + BACK], page.slice(i, BACK)
+            edges = ends[i : i + BACK + 1]
+            positions = pa.ListArray.from_arrays(pa.array((edges - edges[0]).astype(np.int32)), pa.array(at[edges[0] : edges[-1]]))
+            yield pa.RecordBatch.from_arrays([terms.take(pa.array(part // (3 * n))), own.take(page_part), names.take(pa.array(part % 3)), positions, length.take(page_part), flags.take(page_part)], NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += sum(len(batch.column(c).flatten()) for c in COLUMNS)
+            if n >= RUN:
+                yield from rows(held)
+                held, n = [], 0
+        if held:
+            yield from rows(held)
+
+    # all words of a page stand in its own row, so nothing is shuffled to bring them together
+    return split.mapInArrow(run, POSTINGS)
+
+
+def statistics(written: DataFrame) -> DataFrame:
     """One row: pages and their mean length, redirects and pages without words included."""
-    length = reduce(lambda a, b: a + b, (F.size(tokens(F.col(c))) for c in COLUMNS))
-    return articles.select(length.alias("n")).agg(F.count("*").alias("n_all"), F.avg("n").alias("avg_tokens"))
+    return written.filter("term is null").agg(F.count("*").alias("n_all"), F.avg("n_tokens").alias("avg_tokens"))
 
 
 @dataclass(frozen=True)
@@ -80,12 +128,12 @@ class TextIndex:
 
     @classmethod
     def build(cls, articles: DataFrame, path: str | None = None) -> TextIndex:
-        """SNK-12, SNK-6: writes the index, sorted by term and page; statistics last, so that only a whole index has them."""
+        """SNK-12, SNK-6: writes the index; statistics last, so that only a whole index has them."""
         spark = articles.sparkSession
         path = path or fresh_path(spark, "text-index")
-        with cleaning(spark):
-            postings(articles).repartitionByRange("term", "page_id").sortWithinPartitions("term", "page_id", "col").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
-            statistics(articles).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
+        with cleaning(spark), batches_of(spark, "4m"):
+            postings(articles).write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(f"{path}/postings")
+            statistics(spark.read.schema(POSTINGS).parquet(f"{path}/postings")).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
         return cls.open(spark, path)
 
     @classmethod
@@ -93,7 +141,7 @@ class TextIndex:
         if not exists(spark, f"{path}/statistics/_SUCCESS"):
             raise FileNotFoundError(f"no text index at {path}: build it with TextIndex.build")
         row = spark.read.schema("n_all long, avg_tokens double").parquet(f"{path}/statistics").first()
-        return cls(spark.read.schema(POSTINGS).parquet(f"{path}/postings"), row.n_all, row.avg_tokens or 0.0, path)
+        return cls(spark.read.schema(POSTINGS).parquet(f"{path}/postings").filter("term is not null"), row.n_all, row.avg_tokens or 0.0, path)
 
     def of(self, words: list[str]) -> TextIndex:
         """The index cut down to a query's words; the filter reaches the scan."""
