@@ -179,8 +179,8 @@ class Engine:
             "entity_associated": F.coalesce("entity_associated", F.lit(False)),
             "category_score": F.coalesce("category_score", F.lit(0.0)),
         })
-        rows = pages.join(flags, "page_id")
-        return rows.withColumns({"first_paragraph_length": F.length("first_paragraph"), "full_text_length": F.length("full_text")}).drop("full_text")
+        # lengths first: whole texts needn't reach the join
+        return pages.withColumns({"first_paragraph_length": F.length("first_paragraph"), "full_text_length": F.length("full_text")}).drop("full_text").join(flags, "page_id")
 
     def article(self, page_id: int) -> DataFrame:
         """API-2, FLT-12: no row where there is no such article."""
