@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,29 +16,62 @@ def cut(df: DataFrame) -> DataFrame:
     return materialise(df, "cut")
 
 
-#: Nodes of a frontier that may be broadcast.
-SHORT = 50_000
+#: Nodes of a frontier, and nodes seen before, that may be broadcast; pairs of a search and a node that one task brings together, about.
+SHORT, SEEN, PAIRS = 50_000, 200_000, 1_000_000
+
+
+def _step(edges: DataFrame, near: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, node, parent) one step from near(keys, src), which is sent to the edges.
+
+    Edges are dealt by their end, in as many parts as the pairs ask for, so what a node is reached by meets where it is
+    made, and no pair is shuffled but those of nodes that are reached more than PAIRS times.
+    """
+    counts = F.broadcast(near.groupBy("src").agg(F.count("*").alias("n")))
+    loads = edges.join(counts, "src").groupBy("dst").agg(F.sum("n").alias("n"))
+    pairs, most = (x or 0 for x in loads.agg(F.sum("n"), F.max("n")).first())
+    parts = max(1, -(-pairs // PAIRS), min(edges.sparkSession.sparkContext.defaultParallelism, pairs // 20_000))
+    used = edges.join(counts.select("src"), "src", "left_semi")
+
+    def reached(some: DataFrame, *by: str) -> DataFrame:
+        return some.repartition(parts, *by).join(F.broadcast(near), "src").groupBy(*keys, F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+
+    if most <= PAIRS:
+        return reached(used, "dst")
+    hot = F.broadcast(loads.filter(F.col("n") > PAIRS).select("dst"))
+    return reached(used.join(hot, "dst", "left_anti"), "dst").unionByName(reached(used.join(hot, "dst", "left_semi"), "src", "dst"))
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, hops: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """C5: (keys, node, distance, parent) of the nodes reached from seeds(keys, node) in at most `hops` steps.
 
     edges(src, dst). One join per hop; nodes seen are left out, parents are the
-    least possible. Ends early when nothing new is reached.
+    least possible. Ends early when nothing new is reached. Searches of different
+    keys don't meet, so long frontiers are taken in blocks of keys; a search whose
+    own frontier is long is shuffled to the edges.
     """
     if hops < 0:
         raise ValueError("hops must not be negative")
     by = [*keys, "node"]
     level = cut(seeds.select(*by).distinct().withColumn("distance", F.lit(0)).withColumn("parent", F.lit(None).cast(seeds.schema["node"].dataType)))
-    seen = level
+    seen, held = level, 0
     for hop in range(1, hops + 1):
-        near = level.withColumnRenamed("node", "src")
-        # a short frontier is sent to the edges instead of shuffling them
-        step = edges.join(F.broadcast(near) if near.count() <= SHORT else near, "src").groupBy(*keys, F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        fresh = step.join(seen.select(*by), by, "left_anti").select(*by, F.lit(hop).alias("distance"), "parent")
-        level = cut(fresh)
-        if hop < hops and level.isEmpty():
+        near = level.select(*keys, F.col("node").alias("src"))
+        n, longest = near.groupBy(*keys).count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+        if hop > 1 and not n:
             break
+        held += n
+        blocks = max(1, -(-n // SHORT)) if longest <= SHORT else 1
+        fresh = []
+        for i in range(blocks):
+            mine = (F.pmod(F.xxhash64(*keys), F.lit(blocks)) == i) if blocks > 1 else F.lit(True)
+            if longest <= SHORT:
+                step = _step(edges, near.filter(mine), keys)
+            else:
+                step = edges.join(near, "src").groupBy(*keys, F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+            old = seen.select(*by).filter(mine)
+            old = F.broadcast(old) if held <= SEEN * blocks else old.hint("merge")
+            fresh.append(step.join(old, by, "left_anti").select(*by, F.lit(hop).alias("distance"), "parent"))
+        level = cut(reduce(lambda a, b: a.unionByName(b), fresh))
         seen = seen.unionByName(level)
     return seen
 
